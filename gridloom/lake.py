@@ -1 +1,137 @@
-class Lake: pass
+"""The user-facing object: one cell table, and everything that can be asked of it."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions.sql_guard import GuardError, require_read_only
+from gridloom.operators import edits, lineage, materialize, profile, ranges
+from gridloom.operators.structure import Structure
+from gridloom.session import configure
+from gridloom.sources.grid import complete_cells
+from gridloom.sources.workbooks import WorkbookScan
+
+# Fixed value: most rows a query returns to its caller.
+QUERY_ROW_LIMIT = 1_000
+
+_QUOTED = "spark.sql.ansi.doubleQuotedIdentifiers"
+
+
+@contextmanager
+def _double_quoted_names(spark: SparkSession):
+    before = spark.conf.get(_QUOTED)
+    spark.conf.set(_QUOTED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_QUOTED, before)
+
+
+@dataclass
+class QueryResult:
+    columns: list[str]
+    rows: list[dict]
+    row_count: int
+    truncated: bool
+
+
+class Lake:
+    """A lake of grids. Build it from cells, from a stored cell table, or from workbook files."""
+
+    def __init__(self, cells: DataFrame, scan: WorkbookScan | None = None):
+        self.spark = configure(cells.sparkSession)
+        self.cells = complete_cells(cells)
+        self.scan = scan
+        self.structure = Structure(self.cells)
+        self._views: set[str] = set()
+
+    @classmethod
+    def from_cells(cls, spark: SparkSession, path: str) -> Lake:
+        return cls(spark.read.parquet(path))
+
+    @classmethod
+    def from_workbooks(cls, spark: SparkSession, path: str | list[str]) -> Lake:
+        scan = WorkbookScan.of_folder(configure(spark), path)
+        return cls(scan.cells, scan)
+
+    # -- describe ---------------------------------------------------------------------------
+    @property
+    def regions(self) -> DataFrame:
+        return self.structure.regions
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        extra = {}
+        if self.scan is not None:
+            extra = {k: getattr(self.scan, k) for k in ("sheets", "merged", "names", "tables")}
+        return profile.sheet_profile(self.structure.bounds, self.regions, **extra)
+
+    def sheets(self) -> DataFrame:
+        return profile.list_sheets(self.profile)
+
+    def tables(self, sheet: str | None = None) -> DataFrame:
+        return profile.list_tables(self.regions, sheet)
+
+    def best_source(self) -> DataFrame:
+        return profile.best_source(self.structure.bounds, self.regions)
+
+    # -- query ------------------------------------------------------------------------------
+    def table(self, name: str, workbook: str | None = None, keep_keys: bool = False) -> DataFrame:
+        """Typed rows of a region table, from one workbook or from all that have it."""
+        found = self.regions.where(F.col("table_name") == name)
+        if workbook is not None:
+            found = found.where(F.col("workbook") == workbook)
+        return materialize.region_view(self.cells, found, keep_keys)
+
+    def _register(self, sql: str, workbook: str | None) -> None:
+        """Temp views for the tables whose names occur in the text (a superset of those it uses)."""
+        mentioned = F.lit(sql.lower()).contains(F.col("table_name"))
+        regions = self.regions.where(mentioned)
+        if workbook is not None:
+            regions = regions.where(F.col("workbook") == workbook)
+        for row in regions.select("table_name").distinct().collect():
+            key = (row["table_name"], workbook)
+            if key not in self._views:
+                self.table(row["table_name"], workbook).createOrReplaceTempView(row["table_name"])
+                self._views = {k for k in self._views if k[0] != key[0]} | {key}
+
+    def sql(self, sql: str, workbook: str | None = None) -> DataFrame:
+        """Q0 without the row limit: the guarded query as a DataFrame over region views."""
+        body = require_read_only(sql)
+        self._register(body, workbook)
+        with _double_quoted_names(self.spark):
+            return self.spark.sql(body)
+
+    def query(self, sql: str, workbook: str | None = None, limit: int = QUERY_ROW_LIMIT) -> QueryResult:
+        """Q0: at most ``limit`` rows (never more than the default cap), with a truncation flag."""
+        limit = min(limit, QUERY_ROW_LIMIT)
+        df = self.sql(sql, workbook)
+        rows = [r.asDict() for r in df.limit(limit + 1).collect()]
+        return QueryResult(df.columns, rows[:limit], len(rows[:limit]), len(rows) > limit)
+
+    # -- ranges and lineage -----------------------------------------------------------------
+    def read(self, workbook: str, sheet: str, range_text: str, include: Sequence[str] = ("values",), full: bool = False) -> DataFrame:
+        merged = self.scan.merged if self.scan is not None else None
+        return ranges.read_range(self.cells, workbook, sheet, range_text, include, full=full, merged=merged)
+
+    def summary(self, workbook: str, sheet: str, range_text: str, growth: bool = False) -> DataFrame:
+        return ranges.summarize_range(self.cells, workbook, sheet, range_text, growth)
+
+    def trace(self, workbook: str, sheet: str, cell: str, depth: int = lineage.MAX_DEPTH) -> DataFrame:
+        known = (F.col("workbook") == workbook) & (F.col("sheet") == sheet)
+        if self.cells.where(known).limit(1).isEmpty():
+            raise GuardError("sheet_not_found", f"no sheet {sheet!r} in {workbook!r}")
+        return lineage.trace_cell(self.cells, workbook, sheet, cell, depth)
+
+    # -- edit -------------------------------------------------------------------------------
+    def edit(self, operations: DataFrame | list[dict], output: str, workbook: str | None = None, *,
+             dry_run: bool = False, overwrite: bool = False) -> dict:
+        if isinstance(operations, list):
+            operations = edits.edits_frame(self.spark, workbook, operations)
+        return edits.edit(self.cells, operations, output, dry_run=dry_run, overwrite=overwrite)
