@@ -17,8 +17,10 @@ from gridloom.sources.grid import ROW_BLOCK, block_row_number
 SHEET = ["workbook", "sheet"]
 
 
-def cell_non_empty(kind: Column = F.col("raw_kind"), text: Column = F.col("raw_text")) -> Column:
-    """R1 on a cell: values that are not text always print something."""
+def cell_non_empty(kind: Column | None = None, text: Column | None = None) -> Column:
+    """R1 on a cell (raw columns by default): values that are not text always print something."""
+    kind = F.col("raw_kind") if kind is None else kind
+    text = F.col("raw_text") if text is None else text
     return F.when(kind == "text", tx.non_empty(text)).otherwise(kind.isNotNull())
 
 
