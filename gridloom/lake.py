@@ -49,7 +49,7 @@ class Lake:
         self.cells = complete_cells(cells)
         self.scan = scan
         self.structure = Structure(self.cells)
-        self._views: set[str] = set()
+        self._tables: dict[tuple, DataFrame] = {}
 
     @classmethod
     def from_cells(cls, spark: SparkSession, path: str) -> Lake:
@@ -90,16 +90,19 @@ class Lake:
         return materialize.region_view(self.cells, found, keep_keys)
 
     def _register(self, sql: str, workbook: str | None) -> None:
-        """Temp views for the tables whose names occur in the text (a superset of those it uses)."""
+        """Temp views for the tables whose names occur in the text (a superset of those it uses).
+
+        Views are session-wide, so they are set again on each call: another lake may use the name.
+        """
         mentioned = F.lit(sql.lower()).contains(F.col("table_name"))
         regions = self.regions.where(mentioned)
         if workbook is not None:
             regions = regions.where(F.col("workbook") == workbook)
         for row in regions.select("table_name").distinct().collect():
             key = (row["table_name"], workbook)
-            if key not in self._views:
-                self.table(row["table_name"], workbook).createOrReplaceTempView(row["table_name"])
-                self._views = {k for k in self._views if k[0] != key[0]} | {key}
+            if key not in self._tables:
+                self._tables[key] = self.table(*key)
+            self._tables[key].createOrReplaceTempView(row["table_name"])
 
     def sql(self, sql: str, workbook: str | None = None) -> DataFrame:
         """Q0 without the row limit: the guarded query as a DataFrame over region views."""

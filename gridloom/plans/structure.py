@@ -114,7 +114,7 @@ slots as (
 head_text as (
   select s.sheet, s.min_r, s.min_c, s.c, l.txt from slots s join labelled l
   on l.sheet = s.sheet and l.min_r = s.min_r and l.min_c = s.min_c and l.c = s.c and l.r = s.header_row
-  where not (l.kind = 'bool' and l.txt = 'False') and not (l.kind in ('int', 'float') and cast(l.txt as double) = 0)),
+  where not (l.kind = 'bool' and l.txt = 'False') and not (l.kind in ('int', 'float') and try_cast(l.txt as double) = 0)),
 bases as (
   select s.*, regexp_replace(regexp_replace(lower(trim(coalesce(t.txt, 'column_' || idx))), '\W+', '_', 'g'), '^_+|_+$', '', 'g') as b0
   from slots s left join head_text t using (sheet, min_r, min_c, c)),
