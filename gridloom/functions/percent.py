@@ -17,34 +17,34 @@ NUMBER_PATTERN = r"\d+(?:\.\d+)?"
 PERCENT_SUFFIXES = ("kind", "num", "min", "max")
 
 
-def parse_percent(kind: Column, text: Column, num: Column) -> Column:
+def parse_percent(kind: str, text: str, num: str) -> Column:
     """Struct(kind, num, min, max) of one value.
 
-    ``kind`` is the cell's value kind (text/int/float/bool/date/null), ``text`` its spelling and
-    ``num`` its number. Minus signs in texts are ignored: only digits are read.
+    The arguments are SQL snippets: ``kind`` is the value kind (text/int/float/bool/date/null),
+    ``text`` its spelling and ``num`` its number. Minus signs in texts are ignored: only digits are
+    read.
     """
-    spelled = F.replace(F.trim(text), F.lit(","), F.lit("."))
-    found = F.regexp_extract_all(spelled, F.lit(NUMBER_PATTERN), F.lit(0))
-    first = F.get(found, F.lit(0)).cast("double")
-    second = F.get(found, F.lit(1)).cast("double")
-    marked = spelled.contains("%") | F.lower(spelled).contains(PERCENT_WORD)
-    low, high = F.least(first, second), F.greatest(first, second)
-    range_scale = F.when(marked | (high > 1), F.lit(100.0)).otherwise(F.lit(1.0))
-    none = F.lit(None).cast("double")
-    shape = lambda label, n, lo, hi: F.struct(
-        F.lit(label).alias("kind"), n.alias("num"), lo.alias("min"), hi.alias("max")
-    )
-    single = F.when(marked | (first > 1), first / 100.0).otherwise(first)
-    return (
-        F.when(kind.isNull() | (text == ""), shape("empty", none, none, none))
-        .when((kind == "text") & F.ltrim(text).startswith("="), shape("formula", none, none, none))
-        .when(kind == "bool", shape("other", none, none, none))
-        .when(kind.isin("int", "float"), shape("number", num, num, num))
-        .when(first.isNull(), shape("other", none, none, none))
-        .when(second.isNotNull(), shape("range", none, low / range_scale, high / range_scale))
-        .when(marked | (first > 1), shape("percent", single, single, single))
-        .otherwise(shape("number", first, first, first))
-    )
+    spelled = f"replace(trim({text}), ',', '.')"
+    numbers = f"regexp_extract_all({spelled}, r'{NUMBER_PATTERN}', 0)"
+    first, second = (f"cast(get({numbers}, {i}) as double)" for i in (0, 1))
+    marked = f"(contains({spelled}, '%') or contains(lower({spelled}), '{PERCENT_WORD}'))"
+    low, high = f"least({first}, {second})", f"greatest({first}, {second})"
+    range_scale = f"if({marked} or {high} > 1, 100.0D, 1.0D)"
+
+    def shape(label: str, n: str, lo: str, hi: str) -> str:
+        return (f"named_struct('kind', '{label}', 'num', cast({n} as double), "
+                f"'min', cast({lo} as double), 'max', cast({hi} as double))")
+
+    none = ("null", "null", "null")
+    return F.expr(f"""case
+        when {kind} is null or {text} = '' then {shape("empty", *none)}
+        when {kind} = 'text' and startswith(ltrim({text}), '=') then {shape("formula", *none)}
+        when {kind} = 'bool' then {shape("other", *none)}
+        when {kind} in ('int', 'float') then {shape("number", num, num, num)}
+        when {first} is null then {shape("other", *none)}
+        when {second} is not null then {shape("range", "null", f"{low} / {range_scale}", f"{high} / {range_scale}")}
+        when {marked} or {first} > 1 then {shape("percent", *[f"{first} / 100.0D"] * 3)}
+        else {shape("number", first, first, first)} end""")
 
 
 def percent_usable(kind: Column, text: Column) -> Column:

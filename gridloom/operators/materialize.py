@@ -94,24 +94,23 @@ def region_view(cells: DataFrame, regions: DataFrame, keep_keys: bool = False) -
     wide = placed.groupBy(*SHEET, "r").agg(filled, *aggs).where(F.col("filled") > 0)
     out: list[Column] = [F.col(k) for k in (*SHEET, "r")] if keep_keys else []
     derived: list[Column] = []
+    parsed: dict[str, Column] = {}
     for i, col in enumerate(columns):
         value = F.col(f"v{i}")
         out.append((value.cast("bigint") if col.sql_type == "bigint" else value).alias(col.name))
         if not col.percent_like:
             continue
         if col.sql_type in ("double", "bigint"):
-            kind, text, num = F.when(value.isNotNull(), F.lit("float")), F.lit(None).cast("string"), value
+            parsed[f"d{i}"] = parse_percent(f"if(v{i} is null, null, 'float')", "cast(null as string)", f"v{i}")
         elif col.sql_type == "boolean":
-            kind, text, num = F.when(value.isNotNull(), F.lit("bool")), F.lit(None).cast("string"), F.lit(None).cast("double")
+            parsed[f"d{i}"] = parse_percent(f"if(v{i} is null, null, 'bool')", "cast(null as string)", "null")
         else:
-            cell = F.col(f"p{i}")
-            kind, text, num = cell["val_kind"], cell["val_text"], cell["val_num"]
-        parsed = parse_percent(kind, text, num)
-        derived += [parsed[part].alias(f"{col.name}__{part}") for part in PERCENT_SUFFIXES]
+            parsed[f"d{i}"] = parse_percent(f"p{i}.val_kind", f"p{i}.val_text", f"p{i}.val_num")
+        derived += [F.col(f"d{i}.{part}").alias(f"{col.name}__{part}") for part in PERCENT_SUFFIXES]
     out += derived
     if matrix:
         out.append(F.col("y1").alias(YEAR_TOTAL))
-    return wide.select(*out)
+    return wide.withColumns(parsed).select(*out) if parsed else wide.select(*out)
 
 
 def region_cells(structure: Structure) -> DataFrame:

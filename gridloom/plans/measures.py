@@ -107,8 +107,8 @@ from m group by o_custkey
 def percent_parse(spark, sf):
     """P1 on every line item: the spelled rate, and the plain number."""
     rows = inputs.rate_texts(table(spark, sf, "lineitem"))
-    spelled = parse_percent(F.lit("text"), F.col("rate_text"), F.lit(None).cast("double"))
-    number = parse_percent(F.lit("float"), F.lit(None).cast("string"), F.col("l_discount"))
+    spelled = parse_percent("'text'", "rate_text", "null")
+    number = parse_percent("'float'", "cast(null as string)", "l_discount")
     parsed = rows.select("rate_text", "l_discount", spelled.alias("p"), number.alias("n"))
     return parsed.groupBy("rate_text", F.col("p.kind").alias("kind"), F.round("p.num", 6).alias("num"), F.round("p.min", 6).alias("low"),
                           F.round("p.max", 6).alias("high"), F.col("n.kind").alias("n_kind"), F.round("n.num", 6).alias("n_num")).agg(F.count(F.lit(1)).alias("n"))

@@ -18,6 +18,11 @@ RUNTIME_CONF = {
 }
 
 
+# Settings that only a new session can take. Call sites of column expressions are not recorded,
+# since the plans here have thousands of them.
+STARTUP_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
@@ -28,7 +33,7 @@ def build_session(app: str = "gridloom", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in conf.items():
+    for key, value in {**STARTUP_CONF, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
