@@ -30,7 +30,10 @@ def safe_identifier(text: Column, fallback: str | Column) -> Column:
 
 
 def float_text(value: Column) -> Column:
-    """Shortest decimal spelling of a double: ``1458480.0``, ``3127444.992``, ``1e-05``, ``1e+16``."""
+    """Shortest decimal spelling of a double: ``1458480.0``, ``3127444.992``, ``1e-05``, ``1e+16``.
+
+    The digits are the JVM's; only the smallest denormals differ from other printers (4.9e-324).
+    """
     raw = value.cast("string")
     mag = F.abs(value)
     plain = F.regexp_replace(raw.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
