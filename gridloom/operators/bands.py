@@ -116,8 +116,14 @@ def row_map(banded: DataFrame, last_row: Column | None = None) -> DataFrame:
         F.col("band_start").alias("min_r"), F.col("band_end").alias("max_r"), "col_bands")
 
 
-def label_cells(cells: DataFrame, rows: DataFrame) -> DataFrame:
-    """Attach region bounds to every stored cell that lies in a region."""
+def label_cells(cells: DataFrame, rows: DataFrame, known_size: bool = False) -> DataFrame:
+    """Attach region bounds to every stored cell that lies in a region.
+
+    A row map is exploded from a few runs, so its size estimate says nothing: it must not be
+    broadcast on that estimate. With ``known_size`` it is a stored table, and Spark may decide.
+    """
+    if not known_size:
+        rows = rows.hint("merge")
     width_one = F.size("col_bands") == 1
     hit = F.when(width_one, F.get(F.col("col_bands"), F.lit(0))).otherwise(
         F.get(F.filter("col_bands", lambda b: (F.col("c") >= b["min_c"]) & (F.col("c") <= b["max_c"])), F.lit(0)))

@@ -158,7 +158,8 @@ def warnings(staged: DataFrame, cells: DataFrame, merged: DataFrame | None = Non
     if merged is not None:
         left = _blocks(ops, "min_r", "max_r")
         right = _blocks(merged.select(*SHEET, *[F.col(k).alias(f"m_{k}") for k in ("min_r", "min_c", "max_r", "max_c")]), "m_min_r", "m_max_r")
-        meet = left.join(right, [*SHEET, "block"]).where(
+        # Both sides are exploded, so larger than their estimates: never broadcast on those.
+        meet = left.hint("merge").join(right.hint("merge"), [*SHEET, "block"]).where(
             (F.col("m_min_r") <= F.col("max_r")) & (F.col("m_max_r") >= F.col("min_r"))
             & (F.col("m_min_c") <= F.col("max_c")) & (F.col("m_max_c") >= F.col("min_c")))
         out = out.union(meet.select("workbook", "seq", F.concat("touched_range", F.lit(" intersects merged cells.")).alias("warning")).distinct())

@@ -13,7 +13,8 @@ def range_lookup(points: DataFrame, spans: DataFrame, point: str, low: str, high
     """
     left = points.withColumn("_bucket", F.floor(F.col(point) / width))
     buckets = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
-    right = spans.withColumn("_bucket", F.explode(buckets))
+    # Exploded, so larger than its estimate: never broadcast on that.
+    right = spans.withColumn("_bucket", F.explode(buckets)).hint("merge")
     return left.join(right, "_bucket").where(F.col(point).between(F.col(low), F.col(high))).drop("_bucket")
 
 

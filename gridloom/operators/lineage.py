@@ -58,7 +58,8 @@ class LineageGraph:
         self.children = cut_lineage(self._children(), "ref_edges")
 
     def _children(self) -> DataFrame:
-        links = spread_cells(self.nodes).join(self.refs.withColumnRenamed("ref", "child_ref"), [*SHEET, "r", "c"])
+        # Exploded, so larger than its estimate: never broadcast on that.
+        links = spread_cells(self.nodes).hint("merge").join(self.refs.withColumnRenamed("ref", "child_ref"), [*SHEET, "r", "c"])
         # A range node holds at most 32 cells, so a group here is the references of 32 formulas.
         return links.groupBy(*NODE, "ref_sheet", "child_ref").agg(
             F.min(F.struct("r", "c", "pos")).alias("at")

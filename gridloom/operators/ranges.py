@@ -18,6 +18,8 @@ READ_ROW_LIMIT = 200
 
 # Height of the row blocks by which ranges find their cells.
 RANGE_BLOCK = 1_024
+# Ranges with at most this many row blocks in all are sent to every task; more are shuffled.
+BROADCAST_PIECES = 100_000
 
 
 def read_range(cells: DataFrame, workbook: str, sheet: str, range_text: str,
@@ -86,11 +88,14 @@ def range_cells(cells: DataFrame, ranges: DataFrame, block: int = RANGE_BLOCK) -
     """Cells of many ranges at once: (range_id, block, r, c, value columns).
 
     Ranges (range_id, workbook, sheet, bounds) are cut at row-block edges, so the join is on equal
-    (sheet, block) and never pairs a cell with a range of another block.
+    (sheet, block) and never pairs a cell with a range of another block. The number of pieces is
+    counted first: the pieces are broadcast only when there are few.
     """
+    n_pieces = ranges.agg(F.sum(F.expr(f"max_r div {block} - min_r div {block} + 1"))).first()[0] or 0
     pieces = ranges.select(
         "range_id", *SHEET, "min_r", "max_r", "min_c", "max_c",
         F.explode(F.expr(f"sequence(min_r div {block}, max_r div {block})")).alias("block"))
+    pieces = F.broadcast(pieces) if n_pieces <= BROADCAST_PIECES else pieces.hint("merge")
     values = cells.where(F.col("val_kind").isNotNull()).select(
         *SHEET, F.expr(f"r div {block}").alias("block"), "r", "c", "val_kind", "val_text",
         numeric_value(F.col("val_kind"), F.col("val_num")).alias("num"))

@@ -216,7 +216,9 @@ class Structure:
         banded = bands.banded_runs(self.runs, self.layout).join(top, SHEET)
         last = F.greatest(F.col("band_start") + (_HEAD_ROWS - 1), F.col("sheet_top") + (PERIOD_SCAN_ROWS - 1))
         cells = _flags(self.cells).drop("sheet_idx")
-        return cut_lineage(bands.label_cells(cells, bands.row_map(banded, last)).select(
+        # Stored first: the few head rows then have a true size, and cells need no shuffle when it is small.
+        rows = cut_lineage(bands.row_map(banded, last), "head_rows")
+        return cut_lineage(bands.label_cells(cells, rows, known_size=True).select(
             *REGION, "max_r", "max_c", "r", "c", "raw_kind", "raw_text", "raw_num", "val_kind", "val_text",
             "filled", "val_filled", "pct_counted", "pct_usable"), "head")
 

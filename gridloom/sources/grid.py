@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -104,14 +106,22 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_inde
     edges = sorted(set(edges))
     if not edges:
         return block_row_number(df, [], F.lit(0), [F.col(k) for k in keys], name)
-    types = [df.schema[k].dataType for k in keys]
-    as_struct = lambda vals: F.struct(*[
-        F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(vals, types))
-    ])
+    # Edges travel as one JSON constant, in chunks: a row is compared with the chunk heads, then
+    # with the edges of one chunk.
+    fields = ", ".join(f"k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
+    step = math.isqrt(len(edges)) or 1
+    chunks = [[_edge(e) for e in edges[i:i + step]] for i in range(0, len(edges), step)]
+    heads = F.from_json(F.lit(json.dumps([c[0] for c in chunks[1:]])), f"array<struct<{fields}>>")
+    inner = F.from_json(F.lit(json.dumps(chunks)), f"array<array<struct<{fields}>>>")
     key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    bounds = F.array(*[as_struct(e) for e in edges])
-    bucket = F.size(F.filter(bounds, lambda e: e <= key))
-    return block_row_number(df, [], bucket, [F.col(k) for k in keys], name)
+    placed = df.withColumn("_key", key).withColumn("_chunk", F.size(F.filter(heads, lambda e: e <= F.col("_key"))))
+    bucket = F.col("_chunk") * step + F.size(F.filter(F.get(inner, F.col("_chunk")), lambda e: e <= F.col("_key")))
+    numbered = placed.withColumn("_bucket", bucket).drop("_key", "_chunk")
+    return block_row_number(numbered, [], F.col("_bucket"), [F.col(k) for k in keys], name).drop("_bucket")
+
+
+def _edge(values: tuple) -> dict:
+    return {f"k{i}": v if isinstance(v, (bool, int, float, str)) else str(v) for i, v in enumerate(values)}
 
 
 def _kind_of(data_type: T.DataType) -> str:
