@@ -1,14 +1,13 @@
 """Token ids of the public byte-level vocabulary, as numpy arrays.
 
 The ids are those of the `tokenizers` library with the JSON vocabulary. The rank file holds the same vocabulary and
-its library is about five times as fast, so ordinary texts go through it; very long unbroken runs, for which its merge
-loop is slow, go through `tokenizers`. Tests hold both against each other. Strings of special tokens are ordinary text.
+its library is about five times as fast, so it is used where ranks are given. Tests hold both against each other, also on
+very long runs. Strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -17,9 +16,6 @@ from gridloom.llm.common import vocabulary_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 BYTE_BPE_RANKS = "byte_bpe_50k.tiktoken"
-#: Runs without white space from this length on go through `tokenizers`.
-LONG_RUN = 2000
-_LONG = re.compile(r"\S{%d}|\s{%d}" % (LONG_RUN, LONG_RUN))
 
 
 @lru_cache(maxsize=4)
@@ -47,6 +43,6 @@ def library_ids(text: str, vocabulary: str = BYTE_BPE) -> np.ndarray:
 
 def token_ids(text: str, vocabulary: str = BYTE_BPE, ranks: str | None = BYTE_BPE_RANKS) -> np.ndarray:
     """Ids of one text. ``ranks`` None: only the `tokenizers` library is used (any vocabulary)."""
-    if ranks is None or _LONG.search(text):
+    if ranks is None:
         return library_ids(text, vocabulary)
     return _ranked(vocabulary_path(ranks)).encode_to_numpy(text, allowed_special=set(), disallowed_special=())
