@@ -66,8 +66,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     alone = tested.where(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     maybe = tested.where("maybe").drop("maybe")
-    groups = maybe.groupBy(F.col("digest").alias("_digest")).agg(
-        F.max(F.struct("doc_id", "row")).alias("_best"), F.count(F.lit(1)).alias("group_size"))
+    # Stored, so that the join below shuffles plain scans: those the planner can split where one group is large.
+    groups = stored(maybe.groupBy(F.col("digest").alias("_digest")).agg(
+        F.max(F.struct("doc_id", "row")).alias("_best"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
     shared = maybe.join(groups, maybe["digest"] == groups["_digest"]).select(
         "doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("_best.row")).alias("kept"), "digest")
     return alone.unionByName(shared).select(

@@ -18,6 +18,18 @@ from d window g as (partition by text_sha256)
 """
 
 
+def op3_token_output(spark, sf):
+    from gridloom.llm.token_output import packed_matrices
+
+    return packed_matrices(documents(spark, sf))
+
+
+def op5_pack(spark, sf):
+    from gridloom.llm.packing import pack
+
+    return pack(documents(spark, sf))
+
+
 def op6_quality_rules(spark, sf):
     from gridloom.llm.quality import quality
 
@@ -53,5 +65,5 @@ select doc_id, size, source_size, target,
 """
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op6_quality_rules, op7_mix_sources)}
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_token_output, op5_pack, op6_quality_rules, op7_mix_sources)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_mix_sources": OP7_SQL}
