@@ -65,5 +65,11 @@ select doc_id, size, source_size, target,
 """
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_token_output, op5_pack, op6_quality_rules, op7_mix_sources)}
+def op9_simhash(spark, sf):
+    from gridloom.llm.simhash import near_duplicate_components
+
+    return near_duplicate_components(documents(spark, sf))
+
+
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_token_output, op5_pack, op6_quality_rules, op7_mix_sources, op9_simhash)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_mix_sources": OP7_SQL}
