@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gridloom.llm.common import documents
 
 
@@ -65,11 +67,41 @@ select doc_id, size, source_size, target,
 """
 
 
+def op8_line_dedup(spark, sf):
+    """Lines per document, lines dropped as instances of recurring templates, and a digest of what is left."""
+    from gridloom.llm.line_dedup import drop_recurring_lines
+
+    return drop_recurring_lines(documents(spark, sf), report=True).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+OP8_SQL = r"""
+with l as (
+  select doc_id, generate_subscripts(lines, 1) as line_no, unnest(lines) as line from (
+    select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents)),
+p as (
+  select doc_id, line_no, line,
+    regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') as t from l),
+c as (select *, len(t) - 3 as n, least(len(t) - 3, 16) as m from p where len(t) >= 4),
+f as (
+  select doc_id, line_no, t, n, m, g, t[cast(floor(g * n / m) as int) + 4 : cast(floor((g + 1) * n / m) as int) + 3] as field
+  from (select *, unnest(range(0, m)) as g from c)),
+fixed as (select t[1:3] as leading, n, g, field, min(doc_id) as since from f group by all),
+lim as (
+  select t, list_sort(list(since))[greatest(cast(ceil(0.75 * count(*)) as int), 1)] as since from (
+    select distinct f.t, f.g, x.since from f join fixed x on x.leading = f.t[1:3] and x.n = f.n and x.g = f.g and x.field = f.field) group by t),
+gone as (select c.doc_id, c.line_no from c join lim on c.t = lim.t where c.doc_id > lim.since)
+select l.doc_id, count(*) as n_lines, count(g.line_no) as n_dropped,
+  sha256(coalesce(array_to_string(list(l.line order by l.line_no) filter (where g.line_no is null), chr(10)), '')) as text_sha256
+from l left join gone g on g.doc_id = l.doc_id and g.line_no = l.line_no group by l.doc_id
+"""
+
+
 def op9_simhash(spark, sf):
     from gridloom.llm.simhash import near_duplicate_components
 
     return near_duplicate_components(documents(spark, sf))
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_token_output, op5_pack, op6_quality_rules, op7_mix_sources, op9_simhash)}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_mix_sources": OP7_SQL}
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_token_output, op5_pack, op6_quality_rules, op7_mix_sources, op8_line_dedup, op9_simhash)}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_mix_sources": OP7_SQL, "op8_line_dedup": OP8_SQL}
