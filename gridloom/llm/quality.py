@@ -142,16 +142,13 @@ def measure(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str
     return docs.mapInArrow(batches, f"{schema}, _quality {MEASURES}")
 
 
-def _median(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact lower median of ``value`` by key from (keys, value, n): windows over histograms, not over documents."""
+def _median(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact lower median of ``v`` by key from (keys, v, n): windows over histograms, not over documents."""
     by = Window.partitionBy(*keys)
-    below = F.sum("n").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.select(*keys, value, (below * 2 >= F.sum("n").over(by)).alias("_upper"))
-    return ranked.where("_upper").groupBy(*keys).agg(F.min(value).alias("med"))
-
-
-def _histogram(rows: DataFrame, keys: list[str], value) -> DataFrame:
-    return rows.groupBy(*keys, value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.groupBy(*keys, "v").agg(F.sum("n").alias("n"))
+    below = F.sum("n").over(by.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.select(*keys, "v", (below * 2 >= F.sum("n").over(by)).alias("_upper"))
+    return ranked.where("_upper").groupBy(*keys).agg(F.min("v").alias("med"))
 
 
 def _base_failed(rules: QualityRules, q: str = "_quality"):
@@ -173,27 +170,23 @@ def _grouped(measured: DataFrame, lang_col: str) -> DataFrame:
 def bands(measured: DataFrame, rules: QualityRules = QualityRules(), lang_col: str = "lang") -> DataFrame:
     """(_group, _bin) with the band of each measure: one row per language and half octave of token counts."""
     q = F.col("_quality")
+    value = lambda name: F.round(q[name] * _GRAIN).cast("long")
     rows = _grouped(measured, lang_col).where(~_base_failed(rules)).select(
-        "_group", "_bin", q["n_tokens"].alias("t"), F.round(q["chars_per_token"] * _GRAIN).cast("long").alias("c"),
-        F.round(q["entropy"] * _GRAIN).cast("long").alias("h"), F.round(q["byte_share"] * _GRAIN).cast("long").alias("b")).distinct()
-    # Histograms by rounded value: their size follows the languages, not the documents.
-    rows = stored(rows.groupBy("_group", "_bin", "c", "h", "b").agg(F.count(F.lit(1)).alias("m")), "quality-values")
-
-    def histogram(df, keys, value):
-        return df.groupBy(*keys, value.alias("v")).agg(F.sum("m").alias("n"))
-
-    c_mid = _median(histogram(rows, ["_group"], F.col("c")), ["_group"], "v").withColumnRenamed("med", "c_mid")
-    b_mid = _median(histogram(rows, ["_group"], F.col("b")), ["_group"], "v").withColumnRenamed("med", "b_mid")
-    h_mid = _median(histogram(rows, ["_group", "_bin"], F.col("h")), ["_group", "_bin"], "v").withColumnRenamed("med", "h_mid")
-    away = rows.join(c_mid, "_group").join(b_mid, "_group").join(h_mid, ["_group", "_bin"])
-    out = h_mid.join(c_mid, "_group").join(b_mid, "_group")
-    for name in ("c", "h", "b"):
-        keys = ["_group"] if name == "b" else ["_group", "_bin"]
-        mad = _median(histogram(away, keys, F.abs(F.col(name) - F.col(f"{name}_mid"))), keys, "v")
-        out = out.join(mad.withColumnRenamed("med", f"{name}_mad"), keys)
-    spread = 1.4826 / _GRAIN  # of a normal distribution
-    return out.select("_group", "_bin", *[(F.col(f"{n}_mid") / _GRAIN).alias(f"{n}_mid") for n in "chb"],
-                      *[(F.col(f"{n}_mad") * spread).alias(f"{n}_dev") for n in "chb"])
+        "_group", "_bin", q["n_tokens"].alias("t"), value("chars_per_token").alias("c"), value("entropy").alias("h"), value("byte_share").alias("b")).distinct()
+    # One histogram per measure: rounded values by language and half octave, whatever the number of documents.
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("kind"), F.col(m).alias("v")) for m in "chb"])).alias("x")
+    counts = stored(rows.select("_group", "_bin", each).groupBy("_group", "_bin", F.col("x.kind").alias("kind"), F.col("x.v").alias("v")).agg(
+        F.count(F.lit(1)).alias("n")), "quality-values")
+    # Characters per token and the byte share keep their middle at all lengths; the entropy has one per half octave.
+    middle, spread_by = {"c": ["_group"], "h": ["_group", "_bin"], "b": ["_group"]}, {"c": ["_group", "_bin"], "h": ["_group", "_bin"], "b": ["_group"]}
+    out, scale = counts.select("_group", "_bin").distinct(), 1.4826 / _GRAIN  # of a normal distribution
+    for m in "chb":
+        own = counts.where(F.col("kind") == m).select("_group", "_bin", "v", "n")
+        mid = _median(own, middle[m]).withColumnRenamed("med", f"{m}_mid")
+        away = own.join(mid, middle[m]).withColumn("v", F.abs(F.col("v") - F.col(f"{m}_mid")))
+        out = out.join(mid, middle[m]).join(_median(away, spread_by[m]).withColumnRenamed("med", f"{m}_mad"), spread_by[m])
+    return out.select("_group", "_bin", *[(F.col(f"{m}_mid") / _GRAIN).alias(f"{m}_mid") for m in "chb"],
+                      *[(F.col(f"{m}_mad") * scale).alias(f"{m}_dev") for m in "chb"])
 
 
 def judge(measured: DataFrame, rules: QualityRules = QualityRules(), lang_col: str = "lang") -> DataFrame:
