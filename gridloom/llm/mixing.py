@@ -96,11 +96,11 @@ def mix(docs: DataFrame, weights: Column | None = None, share: float = 1.0, max_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with its own columns."""
+    """The mix itself: every document as often as it is taken, with its own columns. Equal rows are taken equally often."""
     keys = ["_mix_id", "_mix_key"]
     taken = mix(docs, id_col=id_col, text_col=text_col, **options).where("copies > 0").groupBy(
         F.col("doc_id").alias(keys[0]), F.col("text_key").alias(keys[1])).agg(
-        F.sum("copies").alias("_mix_sum"), F.count(F.lit(1)).alias("_mix_rows"), F.max("copies").alias("_mix_max"))
+        F.max("copies").alias("_mix_max"))
     own = docs.withColumn("_mix_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     joined = own.join(taken, own[id_col].eqNullSafe(taken[keys[0]]) & (own["_mix_text"] == taken[keys[1]]))
     return joined.select(*[own[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_mix_max"))).alias("_mix_n")).select(

@@ -103,5 +103,11 @@ def op9_simhash(spark, sf):
     return near_duplicate_components(documents(spark, sf))
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_token_output, op5_pack, op6_quality_rules, op7_mix_sources, op8_line_dedup, op9_simhash)}
+def op10_language_id(spark, sf):
+    from gridloom.llm.language import identify
+
+    return identify(documents(spark, sf))
+
+
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_token_output, op5_pack, op6_quality_rules, op7_mix_sources, op8_line_dedup, op9_simhash, op10_language_id)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_mix_sources": OP7_SQL, "op8_line_dedup": OP8_SQL}
