@@ -26,6 +26,12 @@ def op3_token_output(spark, sf):
     return packed_matrices(documents(spark, sf))
 
 
+def op4_html_text(spark, sf):
+    from gridloom.llm.html_extract import extract_pages
+
+    return extract_pages(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
 def op5_pack(spark, sf):
     from gridloom.llm.packing import pack
 
@@ -109,5 +115,5 @@ def op10_language_id(spark, sf):
     return identify(documents(spark, sf))
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_token_output, op5_pack, op6_quality_rules, op7_mix_sources, op8_line_dedup, op9_simhash, op10_language_id)}
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_token_output, op4_html_text, op5_pack, op6_quality_rules, op7_mix_sources, op8_line_dedup, op9_simhash, op10_language_id)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_mix_sources": OP7_SQL, "op8_line_dedup": OP8_SQL}
