@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import text as tx
 from gridloom.lake import Lake
-from gridloom.session import configure, cut_lineage
+from gridloom.session import configure, cut_lineage, ship_package
 from gridloom.sources.grid import complete_cells, literal_cell_columns, to_grid
 
 _LAKES: dict[tuple, Lake] = {}
@@ -17,6 +17,7 @@ _LAKES: dict[tuple, Lake] = {}
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     configure(spark)
+    ship_package(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
