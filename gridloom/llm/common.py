@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.session import cut_lineage
+from gridloom.session import cut_lineage, ship_package
 
 #: A word is a run of characters other than blank, tab, line feed, vertical tab, form feed and return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -18,11 +18,17 @@ ASCII_SPACE = b" \t\n\r\x0b\x0c"
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return table(spark, sf, "documents")
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship_package(spark)
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate to the cluster's shared checkpoint folder and read it back."""
+    ship_package(df.sparkSession)
     return cut_lineage(df, f"llm-{label}")
 
 

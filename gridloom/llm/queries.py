@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import documents
+from gridloom.llm.common import documents, table
 
 
 def op1_exact_dedup(spark, sf):
@@ -20,6 +20,12 @@ from d window g as (partition by text_sha256)
 """
 
 
+def op2_suffix_dedup(spark, sf):
+    from gridloom.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf))
+
+
 def op3_token_output(spark, sf):
     from gridloom.llm.token_output import packed_matrices
 
@@ -29,7 +35,7 @@ def op3_token_output(spark, sf):
 def op4_html_text(spark, sf):
     from gridloom.llm.html_extract import extract_pages
 
-    return extract_pages(spark.read.parquet(f"{sf}/pages.parquet"))
+    return extract_pages(table(spark, sf, "pages"))
 
 
 def op5_pack(spark, sf):
@@ -115,5 +121,5 @@ def op10_language_id(spark, sf):
     return identify(documents(spark, sf))
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_token_output, op4_html_text, op5_pack, op6_quality_rules, op7_mix_sources, op8_line_dedup, op9_simhash, op10_language_id)}
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_suffix_dedup, op3_token_output, op4_html_text, op5_pack, op6_quality_rules, op7_mix_sources, op8_line_dedup, op9_simhash, op10_language_id)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_mix_sources": OP7_SQL, "op8_line_dedup": OP8_SQL}
