@@ -226,10 +226,11 @@ def _order(doc: np.ndarray, check: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _parse(parts: Iterator[pa.RecordBatch], rules: RepeatRules, buckets: int) -> Iterator[pa.RecordBatch]:
     """Documents -> triggers with phrase hashes, by trigger; repeats inside the batch are answered at once."""
     for part in parts:
-        found = []
+        found, seen = [], set()
         for doc, check, raw in _documents(part):
             at, key = triggers(raw, rules)
-            if len(at):
+            if len(at) and (doc, check) not in seen:  # repeated rows are one document
+                seen.add((doc, check))
                 found.append((np.full(len(at), doc), np.full(len(at), check, np.uint32), at.astype(np.int32), key, phrase_hashes(raw, at, rules)))
         if not found:
             continue
