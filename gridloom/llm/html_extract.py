@@ -58,6 +58,7 @@ class ExtractRules:
     sample_pages: int = 2000
     prior: float = 20.0        # words that the prior counts for
     limit: float = 4.0         # of a weight
+    least_word: float = -0.5   # so that an advert inside the article does not cut off its end
     least_tag: float = -0.05   # every tag costs at least this much
 
 
@@ -118,7 +119,7 @@ def count_tokens(page: str) -> Counter:
     for kind, where, text, _, named in tokens(page):
         if kind == "text":
             if n := len(text.split()):
-                out[f"w {where}", named] += n
+                out[f"w {where}", named and where[0] == "|"] += n  # an advert in an article is not content
         elif where not in ("article", "main"):
             out[f"t {where}", named] += 1
     return out
@@ -143,7 +144,7 @@ class Weights:
         inside, outside = self.counts.get(f"w {where}", (0, 0))
         share = _expected(where)
         odds = (inside + self.rules.prior * share) / (outside + self.rules.prior * (1 - share))
-        return max(-self.rules.limit, min(self.rules.limit, math.log(odds)))
+        return max(self.rules.least_word, min(self.rules.limit, math.log(odds)))
 
     def tag(self, name: str) -> float:
         inside, outside = self.counts.get(f"t {name}", (0, 0))
