@@ -8,8 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The size of a spreadsheet grid.
-MAX_ROWS = 1_048_576
-MAX_COLS = 16_384
 
 _RANGE_TEXT = re.compile(r"^\$?([A-Za-z]{1,3})\$?(\d+)(?::\$?([A-Za-z]{1,3})\$?(\d+))?$")
 

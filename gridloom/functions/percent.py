@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridloom.functions.text import SPACES, strip_sql
+
 # Words in a column name that mark it as percent-like.
 PERCENT_HINTS = (
     "apy", "apr", "yield", "rate", "pct", "percent", "доход", "доходность", "ставк", "процент",
@@ -24,7 +26,7 @@ def parse_percent(kind: str, text: str, num: str) -> Column:
     ``text`` its spelling and ``num`` its number. Minus signs in texts are ignored: only digits are
     read.
     """
-    spelled = f"replace(trim({text}), ',', '.')"
+    spelled = f"replace({strip_sql(text)}, ',', '.')"
     numbers = f"regexp_extract_all({spelled}, r'{NUMBER_PATTERN}', 0)"
     first, second = (f"cast(get({numbers}, {i}) as double)" for i in (0, 1))
     marked = f"(contains({spelled}, '%') or contains(lower({spelled}), '{PERCENT_WORD}'))"
@@ -38,7 +40,7 @@ def parse_percent(kind: str, text: str, num: str) -> Column:
     none = ("null", "null", "null")
     return F.expr(f"""case
         when {kind} is null or {text} = '' then {shape("empty", *none)}
-        when {kind} = 'text' and startswith(ltrim({text}), '=') then {shape("formula", *none)}
+        when {kind} = 'text' and startswith({strip_sql(text, 'leading')}, '=') then {shape("formula", *none)}
         when {kind} = 'bool' then {shape("other", *none)}
         when {kind} in ('int', 'float') then {shape("number", num, num, num)}
         when {first} is null then {shape("other", *none)}
@@ -49,7 +51,7 @@ def parse_percent(kind: str, text: str, num: str) -> Column:
 
 def percent_usable(kind: Column, text: Column) -> Column:
     """True when parse_percent would give number, percent or range (cheap form for counting)."""
-    textual = kind.isin("text", "date") & text.rlike(r"\d") & ~F.ltrim(text).startswith("=")
+    textual = kind.isin("text", "date") & text.rlike(r"\d") & ~F.ltrim(text, F.lit(SPACES)).startswith("=")
     return F.coalesce(kind.isin("int", "float") | textual, F.lit(False))
 
 

@@ -37,6 +37,33 @@ def sql_verdict(sql: Column) -> Column:
     )
 
 
+# A text in pieces: strings, comments, quoted names, words, other signs. Only the pieces outside comments count.
+_PIECE = re.compile(r"""'(?:[^'\\]|\\.|'')*'|--[^\n]*|/\*.*?\*/|`(?:[^`]|``)*`|"(?:[^"\\]|\\.|"")*"|\w+|\S""", re.S)
+# Functions that call into the machine or read what is named by a text, and file formats that can stand for a table.
+BLOCKED_FUNCTIONS = frozenset(("reflect", "java_method", "try_reflect", "identifier"))
+PATH_FORMATS = frozenset(("parquet", "csv", "json", "orc", "text", "avro", "binaryfile", "xml", "delta", "jdbc", "image", "libsvm"))
+
+
+def refuse_side_doors(sql: str) -> None:
+    """Raise GuardError for queries that run programs, call methods or read files behind the tables.
+
+    Script transforms (``using 'command'``), method calls and tables named by a path are refused, however they are quoted
+    or split by comments. A query over region tables needs none of them, nor a table name in two parts.
+    """
+    pieces = [p for p in _PIECE.findall(sql) if not p.startswith(("--", "/*"))]
+    names = [p[1:-1].lower() if p[0] in "`\"" else p.lower() for p in pieces]
+    for i, (piece, name) in enumerate(zip(pieces, names)):
+        after = pieces[i + 1] if i + 1 < len(pieces) else ""
+        if name in BLOCKED_FUNCTIONS and after == "(":
+            raise GuardError("mutating_sql_rejected", f"the function {name} is not allowed")
+        if piece.lower() == "using" and after[:1] in ("'", '"'):
+            raise GuardError("mutating_sql_rejected", "script transforms are not allowed")
+        if name in PATH_FORMATS and after == "." and i + 2 < len(pieces) and pieces[i + 2][0] in "`\"":
+            raise GuardError("mutating_sql_rejected", "a path is not a table")
+        if piece.lower() in ("from", "join") and i + 2 < len(pieces) and pieces[i + 2] == "." and after not in ("(", "'"):
+            raise GuardError("mutating_sql_rejected", "tables are named in one part")
+
+
 def require_read_only(sql: str) -> str:
     """Raise GuardError unless the text is a SELECT/WITH query; returns it without final semicolons."""
     body = sql.strip().rstrip(";")
@@ -46,4 +73,5 @@ def require_read_only(sql: str) -> str:
         raise GuardError("mutating_sql_rejected", "only read-only queries are allowed")
     if body.split(None, 1)[0].lower() not in ALLOWED_FIRST_WORDS:
         raise GuardError("unsupported_sql", "a query starts with SELECT or WITH")
+    refuse_side_doors(body)
     return body.rstrip()

@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
 
 
+#: The same white space as a SQL literal, for expressions that are built as SQL text.
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def strip_sql(text: str, sides: str = "both") -> str:
+    return f"trim({sides} '{SPACES}' from {text})"
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space. The regex runs only when trim() leaves a candidate edge."""
     trimmed = F.trim(text)

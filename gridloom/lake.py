@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from gridloom.functions.sql_guard import GuardError, require_read_only
 from gridloom.operators import edits, lineage, materialize, profile, ranges
 from gridloom.operators.structure import Structure
-from gridloom.session import configure
+from gridloom.session import cut_lineage
 from gridloom.sources.grid import complete_cells
 from gridloom.sources.workbooks import WorkbookScan
 
-# Fixed value: most rows a query returns to its caller.
+# Fixed value: rows a query returns to its caller unless asked otherwise.
 QUERY_ROW_LIMIT = 1_000
 
 _QUOTED = "spark.sql.ansi.doubleQuotedIdentifiers"
@@ -44,21 +44,24 @@ class QueryResult:
 class Lake:
     """A lake of grids. Build it from cells, from a stored cell table, or from workbook files."""
 
-    def __init__(self, cells: DataFrame, scan: WorkbookScan | None = None):
-        self.spark = configure(cells.sparkSession)
+    def __init__(self, cells: DataFrame, scan: WorkbookScan | None = None, source: str | None = None):
+        self.spark = cells.sparkSession
         self.cells = complete_cells(cells)
         self.scan = scan
+        self.source = source
         self.structure = Structure(self.cells)
+        self._books: dict[str, Structure] = {}
+        self.kept: dict = {}
         self._tables: dict[tuple, DataFrame] = {}
 
     @classmethod
     def from_cells(cls, spark: SparkSession, path: str) -> Lake:
-        return cls(spark.read.parquet(path))
+        return cls(spark.read.parquet(path), source=path)
 
     @classmethod
     def from_workbooks(cls, spark: SparkSession, path: str | list[str]) -> Lake:
-        scan = WorkbookScan.of_folder(configure(spark), path)
-        return cls(scan.cells, scan)
+        scan = WorkbookScan.of_folder(spark, path)
+        return cls(scan.cells, scan, path if isinstance(path, str) else None)
 
     # -- describe ---------------------------------------------------------------------------
     @property
@@ -70,7 +73,12 @@ class Lake:
         extra = {}
         if self.scan is not None:
             extra = {k: getattr(self.scan, k) for k in ("sheets", "merged", "names", "tables")}
-        return profile.sheet_profile(self.structure.bounds, self.regions, **extra)
+        return profile.sheet_profile(self.bounds, self.regions, **extra)
+
+    @cached_property
+    def bounds(self) -> DataFrame:
+        """Used range of every sheet, those without a stored cell included."""
+        return self.structure.bounds if self.scan is None else profile.with_empty_sheets(self.structure.bounds, self.scan.sheets)
 
     def sheets(self) -> DataFrame:
         return profile.list_sheets(self.profile)
@@ -79,15 +87,21 @@ class Lake:
         return profile.list_tables(self.regions, sheet)
 
     def best_source(self) -> DataFrame:
-        return profile.best_source(self.structure.bounds, self.regions)
+        return profile.best_source(self.bounds, self.regions)
 
     # -- query ------------------------------------------------------------------------------
     def table(self, name: str, workbook: str | None = None, keep_keys: bool = False) -> DataFrame:
         """Typed rows of a region table, from one workbook or from all that have it."""
-        found = self.regions.where(F.col("table_name") == name)
-        if workbook is not None:
-            found = found.where(F.col("workbook") == workbook)
-        return materialize.region_view(self.cells, found, keep_keys)
+        structure = self._structure(workbook)
+        return materialize.region_view(structure.cells, structure.regions.where(F.col("table_name") == name), keep_keys)
+
+    def _structure(self, workbook: str | None) -> Structure:
+        """Discovery of one workbook reads that workbook only, unless the whole lake is known already."""
+        if workbook is None:
+            return self.structure
+        if workbook not in self._books:
+            self._books[workbook] = Structure(self.cells.where(F.col("workbook") == workbook))
+        return self._books[workbook]
 
     def _register(self, sql: str, workbook: str | None) -> None:
         """Temp views for the tables whose names occur in the text (a superset of those it uses).
@@ -95,13 +109,11 @@ class Lake:
         Views are session-wide, so they are set again on each call: another lake may use the name.
         """
         mentioned = F.lit(sql.lower()).contains(F.col("table_name"))
-        regions = self.regions.where(mentioned)
-        if workbook is not None:
-            regions = regions.where(F.col("workbook") == workbook)
-        for row in regions.select("table_name").distinct().collect():
+        for row in self._structure(workbook).regions.where(mentioned).select("table_name").distinct().collect():
             key = (row["table_name"], workbook)
             if key not in self._tables:
-                self._tables[key] = self.table(*key)
+                # Stored typed and column by column: a query, and every mention in it, reads what it needs of that.
+                self._tables[key] = cut_lineage(self.table(*key), "view")
             self._tables[key].createOrReplaceTempView(row["table_name"])
 
     def sql(self, sql: str, workbook: str | None = None) -> DataFrame:
@@ -111,30 +123,43 @@ class Lake:
         with _double_quoted_names(self.spark):
             return self.spark.sql(body)
 
-    def query(self, sql: str, workbook: str | None = None, limit: int = QUERY_ROW_LIMIT) -> QueryResult:
-        """Q0: at most ``limit`` rows (never more than the default cap), with a truncation flag."""
-        limit = min(limit, QUERY_ROW_LIMIT)
+    def query(self, sql: str, workbook: str | None = None, limit: int | None = QUERY_ROW_LIMIT) -> QueryResult:
+        """Q0: at most ``limit`` rows with a truncation flag; None returns all (``sql`` keeps them on the cluster)."""
         df = self.sql(sql, workbook)
-        rows = [r.asDict() for r in df.limit(limit + 1).collect()]
+        rows = [r.asDict() for r in (df if limit is None else df.limit(limit + 1)).collect()]
+        if limit is None:
+            return QueryResult(df.columns, rows, len(rows), False)
         return QueryResult(df.columns, rows[:limit], len(rows[:limit]), len(rows) > limit)
 
     # -- ranges and lineage -----------------------------------------------------------------
-    def read(self, workbook: str, sheet: str, range_text: str, include: Sequence[str] = ("values",), full: bool = False) -> DataFrame:
-        merged = self.scan.merged if self.scan is not None else None
-        return ranges.read_range(self.cells, workbook, sheet, range_text, include, full=full, merged=merged)
+    def read(self, workbook: str, sheet: str, range_text: str, include: Sequence[str] = ("values",), full: bool = False,
+             max_cells: int | None = ranges.MAX_READ_CELLS, row_limit: int | None = ranges.READ_ROW_LIMIT) -> DataFrame:
+        merged, sheets = (self.scan.merged, self.scan.sheets) if self.scan is not None else (None, None)
+        return ranges.read_range(self.cells, workbook, sheet, range_text, include, full=full, max_cells=max_cells,
+                                 row_limit=row_limit, merged=merged, sheets=sheets)
 
-    def summary(self, workbook: str, sheet: str, range_text: str, growth: bool = False) -> DataFrame:
-        return ranges.summarize_range(self.cells, workbook, sheet, range_text, growth)
+    def summary(self, workbook: str, sheet: str, range_text: str, growth: bool = False, max_cells: int | None = None) -> DataFrame:
+        return ranges.summarize_range(self.cells, workbook, sheet, range_text, growth, max_cells)
 
-    def trace(self, workbook: str, sheet: str, cell: str, depth: int = lineage.MAX_DEPTH) -> DataFrame:
+    def trace(self, workbook: str, sheet: str, cell: str, depth: int = lineage.MAX_DEPTH, **options) -> DataFrame:
         known = (F.col("workbook") == workbook) & (F.col("sheet") == sheet)
-        if self.cells.where(known).limit(1).isEmpty():
+        listed = self.cells.where(known).select("sheet").limit(1)
+        if self.scan is not None:
+            listed = listed.union(self.scan.sheets.where(known).select("sheet"))
+            options = {"sheets": self.scan.sheets, **options}
+        if listed.isEmpty():
             raise GuardError("sheet_not_found", f"no sheet {sheet!r} in {workbook!r}")
-        return lineage.trace_cell(self.cells, workbook, sheet, cell, depth)
+        return lineage.trace_cell(self.cells, workbook, sheet, cell, depth, **options)
 
     # -- edit -------------------------------------------------------------------------------
-    def edit(self, operations: DataFrame | list[dict], output: str, workbook: str | None = None, *,
+    def edit(self, operations: DataFrame | list[dict], output: str | None = None, workbook: str | None = None, *,
              dry_run: bool = False, overwrite: bool = False) -> dict:
+        """Edits of some workbooks; their cells are written to ``output``, by default ``<workbook or source>.updated``."""
+        if output is None:
+            output = edits.commit_path(workbook if workbook and "/" in workbook else self.source or "")
+            if output == edits.commit_path(""):
+                raise GuardError("invalid_operation", "an output is needed for a lake without a source path")
         if isinstance(operations, list):
             operations = edits.edits_frame(self.spark, workbook, operations)
-        return edits.edit(self.cells, operations, output, dry_run=dry_run, overwrite=overwrite)
+        merged, sheets = (self.scan.merged, self.scan.sheets) if self.scan is not None else (None, None)
+        return edits.edit(self.cells, operations, output, dry_run=dry_run, overwrite=overwrite, merged=merged, sheets=sheets)

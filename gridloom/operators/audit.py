@@ -43,13 +43,14 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_audit(events: DataFrame, session_id: str | None = None, path: str | None = None,
-                 limit: int = AUDIT_LIMIT, time: str = "created_at", tie: str = "event_id") -> DataFrame:
+                 limit: int | None = AUDIT_LIMIT, time: str = "created_at", tie: str = "event_id") -> DataFrame:
     """Newest events first, optionally of one session and/or path."""
     if session_id is not None:
         events = events.where(F.col("session_id") == session_id)
     if path is not None:
         events = events.where(F.col("path") == path)
-    return events.orderBy(F.desc(time), F.desc(tie)).limit(limit)
+    newest = events.orderBy(F.desc(time), F.desc(tie))
+    return newest if limit is None else newest.limit(limit)
 
 
 def audit_stats(events: DataFrame) -> DataFrame:
@@ -59,6 +60,11 @@ def audit_stats(events: DataFrame) -> DataFrame:
         F.min("elapsed_ms").alias("min_ms"), F.avg("elapsed_ms").alias("avg_ms"), F.max("elapsed_ms").alias("max_ms"))
 
 
+def small_reads(reads: DataFrame, n_cells: Column, most: int = SMALL_READ_CELLS) -> DataFrame:
+    """The reads that the repeat rule looks at: those of at most ``most`` cells."""
+    return reads.where(n_cells <= most)
+
+
 def repeat_reads(reads: DataFrame, order: list[str], time_block: Column, memory: int = READ_MEMORY,
                  threshold: int = REPEAT_THRESHOLD, read_block: int = READ_BLOCK) -> DataFrame:
     """T1 over a stored log: per small read, how often its key was read among the last ``memory`` ones.

@@ -16,9 +16,12 @@ from gridloom.functions.sql_guard import GuardError
 from gridloom.operators.bands import SHEET
 from gridloom.operators.ranges import RANGE_BLOCK, range_cells
 from gridloom.operators.structure import sheet_bounds
-from gridloom.session import cut_lineage, shuffle_width
+from gridloom.session import cut_lineage
 from gridloom.sources.grid import CELL_COLUMNS, complete_cells
 
+#: Most cells in one file of a committed table.
+FILE_ROWS = 20_000_000
+
 # The edit types.
 EDIT_TYPES = (
     "set_values", "set_formula", "clear_range", "append_rows", "insert_rows", "delete_rows", "copy_range",
@@ -81,16 +84,22 @@ def _width(block: Column) -> Column:
     return F.array_max(F.transform(block, lambda row: F.size(row)))
 
 
-def stage(edits: DataFrame, cells: DataFrame) -> DataFrame:
-    """Every operation with its error code (null when accepted) and touched rectangle."""
+def stage(edits: DataFrame, cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
+    """Every operation with its error code (null when accepted) and touched rectangle.
+
+    ``sheets``: all known sheets, where some may have no stored cell.
+    """
     bounds = sheet_bounds(cells).select(
         *SHEET, F.col("max_r").alias("sheet_max_r"), F.col("max_c").alias("sheet_max_c"))
+    if sheets is not None:
+        empty = sheets.select(*SHEET).join(bounds, SHEET, "left_anti")
+        bounds = bounds.unionByName(empty.select(*SHEET, F.lit(0).cast("long").alias("sheet_max_r"), F.lit(1).alias("sheet_max_c")))
     joined = edits.join(bounds, SHEET, "left")
     is_type = lambda *names: F.col("type").isin(*names)
-    start = a1.range_bounds(F.col("start"))
-    cell = a1.range_bounds(F.col("cell"))
+    one_cell = lambda c: F.when(a1.cell_ref(F.col(c))[0].isNotNull(), a1.range_bounds(F.col(c)))
+    start, cell, target = one_cell("start"), one_cell("cell"), one_cell("target")
     area = a1.range_bounds(F.col("range"))
-    source, target = a1.range_bounds(F.col("source")), a1.range_bounds(F.col("target"))
+    source = a1.range_bounds(F.col("source"))
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
     empty = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
     amount = F.coalesce("amount", F.lit(1))
@@ -141,6 +150,11 @@ def rejected(staged: DataFrame) -> DataFrame:
     return staged.where(F.col("error").isNotNull()).select("workbook", "seq", "sheet", "type", F.col("error").alias("code"))
 
 
+def touched_ranges(staged: DataFrame) -> DataFrame:
+    """Ranges that the accepted operations touch, each once, in order of first use."""
+    return accepted(staged).where(F.col("touched_range").isNotNull()).groupBy("workbook", "touched_range").agg(F.min("seq").alias("seq"))
+
+
 def _blocks(df: DataFrame, lo: str, hi: str) -> DataFrame:
     return df.withColumn("block", F.explode(F.expr(f"sequence({lo} div {RANGE_BLOCK}, {hi} div {RANGE_BLOCK})")))
 
@@ -204,7 +218,7 @@ def _block_writes(ops: DataFrame, column: str, top: Column, left: Column) -> Dat
 
 def _area_writes(ops: DataFrame) -> DataFrame:
     """Single cells of clears and copies. Tall areas are cut into row blocks and spread over tasks first."""
-    blocks = _blocks(ops, "min_r", "max_r").repartition(shuffle_width(ops.sparkSession), "workbook", "sheet", "seq", "block")
+    blocks = _blocks(ops, "min_r", "max_r").repartition("workbook", "sheet", "seq", "block")
     lo = F.greatest(F.col("min_r"), F.col("block") * RANGE_BLOCK)
     hi = F.least(F.col("max_r"), F.col("block") * RANGE_BLOCK + (RANGE_BLOCK - 1))
     rows = blocks.withColumn("r", F.explode(F.sequence(lo, hi)))
@@ -465,10 +479,12 @@ def write_cells(cells: DataFrame, path: str, overwrite: bool = False) -> None:
 
     An existing path is refused unless ``overwrite``.
     """
-    width = shuffle_width(cells.sparkSession)
-    clustered = cells.repartitionByRange(width, "workbook", "sheet", "r").sortWithinPartitions("workbook", "sheet", "r", "c")
+    # Stored first: range partitioning reads its input twice, and an edit should be computed once. The number of files
+    # follows the size, not a setting.
+    made = cut_lineage(cells, "edited")
+    clustered = made.repartitionByRange("workbook", "sheet", "r").sortWithinPartitions("workbook", "sheet", "r", "c")
     try:
-        clustered.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+        clustered.write.option("maxRecordsPerFile", FILE_ROWS).mode("overwrite" if overwrite else "errorifexists").parquet(path)
     except Exception as exc:
         if "PATH_ALREADY_EXISTS" in str(exc):
             raise GuardError("output_exists", f"{path} exists and overwrite is off") from exc
@@ -480,13 +496,22 @@ def commit_path(source: str) -> str:
     return f"{source.rstrip('/')}.updated"
 
 
-def edit(cells: DataFrame, edits: DataFrame, output: str, *, dry_run: bool = False, overwrite: bool = False) -> dict:
-    """Stage, and commit unless a rejection or ``dry_run`` stops it."""
-    staged = cut_lineage(stage(edits, cells), "staged")
+def edit(cells: DataFrame, edits: DataFrame, output: str, *, dry_run: bool = False, overwrite: bool = False,
+         merged: DataFrame | None = None, sheets: DataFrame | None = None) -> dict:
+    """Stage, and commit unless a rejection or ``dry_run`` stops it.
+
+    Only the workbooks that the edits name are read, applied and written; the others stay where they are.
+    """
+    books = edits.select("workbook").distinct()
+    own = cells.join(books, "workbook", "left_semi")
+    merged = merged if merged is None else merged.join(books, "workbook", "left_semi")
+    sheets = sheets if sheets is None else sheets.join(books, "workbook", "left_semi")
+    staged = cut_lineage(stage(edits, own, sheets), "staged")
     bad = rejected(staged)
     failed = not bad.limit(1).isEmpty()
-    result = {"ok": not failed, "rejected": bad, "changes": diff(staged, cells), "warnings": warnings(staged, cells), "committed": None}
+    result = {"ok": not failed, "rejected": bad, "touched": touched_ranges(staged), "changes": diff(staged, own),
+              "warnings": warnings(staged, own, merged, sheets), "committed": None}
     if not failed and not dry_run:
-        write_cells(apply(staged, cells), output, overwrite)
+        write_cells(apply(staged, own), output, overwrite)
         result["committed"] = output
     return result

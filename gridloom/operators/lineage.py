@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from gridloom.functions import a1
 from gridloom.functions.references import extract_refs
 from gridloom.operators.bands import SHEET
+from gridloom.operators.ranges import RANGE_BLOCK
 from gridloom.session import cut_lineage
 
-# Deepest trace, and the largest range whose cells are listed and followed.
+# Default depth of a trace, and the largest range whose values are listed by default.
 MAX_DEPTH = 5
-RANGE_CAP = 32
+VALUE_CAP = 32
+#: Ranges up to this size are spread to single cells; larger ones meet the formulas of their row blocks. Same result.
+SPREAD_CELLS = 32
 
 NODE = ["workbook", "sheet", "ref"]
 
@@ -31,10 +34,10 @@ def _with_area(refs: DataFrame) -> DataFrame:
     return bounded.withColumn("is_range", F.col("ref").contains(":")).withColumn("area", area)
 
 
-def spread_cells(refs: DataFrame) -> DataFrame:
-    """L2: the single cells behind each reference, for ranges up to the cap (larger ones give none)."""
+def spread_cells(refs: DataFrame, most: int | None = None) -> DataFrame:
+    """L2: the single cells behind each reference, for ranges of up to ``most`` cells (None: all)."""
     return (
-        refs.where(F.col("area") <= RANGE_CAP)
+        (refs if most is None else refs.where(F.col("area") <= most))
         .select(*NODE, F.explode(F.sequence("min_r", "max_r")).alias("r"), "min_c", "max_c")
         .select(*NODE, "r", F.explode(F.sequence("min_c", "max_c")).alias("c"))
     )
@@ -45,11 +48,15 @@ class LineageGraph:
 
     A node is a (sheet, reference text). A range node leads to the distinct references of the
     formulas inside it: the cell level is skipped.
+
+    ``range_cap``: ranges of more cells are not followed (None, the default, follows all). ``value_cap``: ranges of more
+    cells list no values (None lists all; the array then has an entry per cell of the range).
     """
 
-    def __init__(self, cells: DataFrame, roots: DataFrame):
-        """``roots``: (workbook, sheet, ref)."""
-        self.cells = cells
+    def __init__(self, cells: DataFrame, roots: DataFrame, range_cap: int | None = None, value_cap: int | None = VALUE_CAP,
+                 sheets: DataFrame | None = None):
+        """``roots``: (workbook, sheet, ref). ``sheets``: all known sheets, some perhaps without a stored cell."""
+        self.cells, self.range_cap, self.value_cap, self.sheets = cells, range_cap, value_cap, sheets
         self.roots = roots.select(
             "workbook", "sheet", F.upper(F.replace(F.col("ref"), F.lit("$"), F.lit(""))).alias("ref")).distinct()
         self.refs = cut_lineage(formula_refs(cells), "formula_refs")
@@ -58,9 +65,17 @@ class LineageGraph:
         self.children = cut_lineage(self._children(), "ref_edges")
 
     def _children(self) -> DataFrame:
+        nodes = self.nodes if self.range_cap is None else self.nodes.where(F.col("area") <= self.range_cap)
+        refs = self.refs.withColumnRenamed("ref", "child_ref")
         # Exploded, so larger than its estimate: never broadcast on that.
-        links = spread_cells(self.nodes).hint("merge").join(self.refs.withColumnRenamed("ref", "child_ref"), [*SHEET, "r", "c"])
-        # A range node holds at most 32 cells, so a group here is the references of 32 formulas.
+        small = spread_cells(nodes, SPREAD_CELLS).hint("merge").join(refs, [*SHEET, "r", "c"])
+        block = lambda at: F.expr(f"{at} div {RANGE_BLOCK}")
+        pieces = nodes.where(F.col("area") > SPREAD_CELLS).select(
+            *NODE, "min_r", "max_r", "min_c", "max_c", F.explode(F.sequence(block("min_r"), block("max_r"))).alias("block"))
+        large = refs.withColumn("block", block("r")).join(pieces.hint("merge"), [*SHEET, "block"]).where(
+            F.col("r").between(F.col("min_r"), F.col("max_r")) & F.col("c").between(F.col("min_c"), F.col("max_c")))
+        columns = [*NODE, "ref_sheet", "child_ref", "r", "c", "pos"]
+        links = small.select(*columns).unionByName(large.select(*columns))
         return links.groupBy(*NODE, "ref_sheet", "child_ref").agg(
             F.min(F.struct("r", "c", "pos")).alias("at")
         ).select(*NODE, F.col("ref_sheet").alias("child_sheet"), "child_ref", "at")
@@ -68,11 +83,14 @@ class LineageGraph:
     def node_values(self) -> DataFrame:
         """Value(s), formula and error of every node."""
         found = self.cells.select(*SHEET, "r", "c", "val_text", "formula")
-        spread = spread_cells(self.nodes).join(found, [*SHEET, "r", "c"], "left")
+        spread = spread_cells(self.nodes, self.value_cap).join(found, [*SHEET, "r", "c"], "left")
         values = spread.groupBy(*NODE).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("r", "c", "val_text"))), lambda x: x["val_text"]).alias("vals"),
             F.max("formula").alias("formula"))
-        sheets = self.cells.select(*SHEET).distinct().withColumn("known", F.lit(True))
+        sheets = self.cells.select(*SHEET)
+        if self.sheets is not None:
+            sheets = sheets.union(self.sheets.select(*SHEET))
+        sheets = sheets.distinct().withColumn("known", F.lit(True))
         return (
             self.nodes.select(*NODE, "is_range").join(values, NODE, "left").join(sheets, SHEET, "left")
             .select(
@@ -88,7 +106,7 @@ class LineageGraph:
 
         Columns: root_sheet, root_ref, depth, path, parent_ref, node columns. Cycles end by depth.
         """
-        depth = max(0, min(depth, MAX_DEPTH))
+        depth = max(0, depth)
         label = F.concat_ws("!", "sheet", "ref")
         level = self.roots.select(
             "workbook", F.col("sheet").alias("root_sheet"), F.col("ref").alias("root_ref"), "sheet", "ref",
@@ -104,11 +122,11 @@ class LineageGraph:
         return reached.join(self.node_values(), NODE, "left") if with_values else reached
 
 
-def trace_cell(cells: DataFrame, workbook: str, sheet: str, cell: str, depth: int = MAX_DEPTH) -> DataFrame:
+def trace_cell(cells: DataFrame, workbook: str, sheet: str, cell: str, depth: int = MAX_DEPTH, **options) -> DataFrame:
     root = cells.sparkSession.range(1).select(
         F.lit(workbook).alias("workbook"), F.lit(sheet).alias("sheet"), F.lit(cell).alias("ref"))
     book = cells.where(F.col("workbook") == workbook)
-    return LineageGraph(book, root).trace(depth)
+    return LineageGraph(book, root, **options).trace(depth)
 
 
 def direct_precedents(refs: DataFrame) -> DataFrame:

@@ -16,6 +16,13 @@ BEST_SOURCES = 3
 MERGED_SAMPLE = 10
 
 
+def with_empty_sheets(bounds: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Bounds of all known sheets; one without a stored cell has the bounds of A1 and no formula."""
+    one = {"min_r": 1, "min_c": 1, "max_r": 1, "max_c": 1, "formula_count": 0}
+    known = sheets.select(*SHEET, F.col("sheet_idx").alias("_idx")).join(bounds, SHEET, "full_outer")
+    return known.withColumn("sheet_idx", F.coalesce("sheet_idx", "_idx")).drop("_idx").fillna(one)
+
+
 def sheet_profile(bounds: DataFrame, regions: DataFrame, sheets: DataFrame | None = None,
                   merged: DataFrame | None = None, names: DataFrame | None = None,
                   tables: DataFrame | None = None) -> DataFrame:

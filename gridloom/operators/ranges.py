@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import a1
 from gridloom.functions.sql_guard import GuardError
 from gridloom.operators.bands import SHEET
-from gridloom.sources.grid import numeric_value
+from gridloom.sources.grid import computed_value_unavailable, numeric_value
 
 # Default limits of a range read.
 MAX_READ_CELLS = 10_000
@@ -24,20 +24,22 @@ BROADCAST_PIECES = 100_000
 
 def read_range(cells: DataFrame, workbook: str, sheet: str, range_text: str,
                include: Sequence[str] = ("values",), *, full: bool = False,
-               max_cells: int | None = MAX_READ_CELLS, row_limit: int = READ_ROW_LIMIT,
-               merged: DataFrame | None = None) -> DataFrame:
+               max_cells: int | None = MAX_READ_CELLS, row_limit: int | None = READ_ROW_LIMIT,
+               merged: DataFrame | None = None, sheets: DataFrame | None = None) -> DataFrame:
     """Row-major slice of a sheet: one row per grid row with an array of cells, blanks included.
 
-    ``truncated``, ``rows_returned`` and ``rows_scanned`` describe the row limit (off when ``full``).
+    ``truncated``, ``rows_returned`` and ``rows_scanned`` describe the row limit (off when ``full`` or None).
+    ``unavailable`` of a value: a formula without a stored result. ``sheets``: all known sheets, some perhaps empty.
     """
     min_r, min_c, max_r, max_c = a1.parse_range(range_text)
     if max_cells is not None and (max_r - min_r + 1) * (max_c - min_c + 1) > max_cells:
         raise GuardError("range_too_large", f"{range_text} has more than {max_cells} cells")
     on_sheet = cells.where((F.col("workbook") == workbook) & (F.col("sheet") == sheet))
-    if on_sheet.limit(1).isEmpty():
+    listed = None if sheets is None else sheets.where((F.col("workbook") == workbook) & (F.col("sheet") == sheet))
+    if on_sheet.limit(1).isEmpty() and (listed is None or listed.limit(1).isEmpty()):
         raise GuardError("sheet_not_found", f"no sheet {sheet!r} in {workbook!r}")
     total = max_r - min_r + 1
-    cut = not full and total > row_limit
+    cut = not full and row_limit is not None and total > row_limit
     last = min_r + row_limit - 1 if cut else max_r
     wanted = on_sheet.where(F.col("r").between(min_r, last) & F.col("c").between(min_c, max_c))
     stored = wanted.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct(
@@ -56,7 +58,8 @@ def read_range(cells: DataFrame, workbook: str, sheet: str, range_text: str,
         x = F.try_element_at(F.col("m"), c)
         fields = [a1.cell_a1(F.col("r"), c).alias("address")]
         if "values" in include:
-            fields += [x["val_text"].alias("value"), x["val_kind"].alias("kind")]
+            fields += [x["val_text"].alias("value"), x["val_kind"].alias("kind"),
+                       F.coalesce(computed_value_unavailable(x["raw_kind"], x["val_kind"]), F.lit(False)).alias("unavailable")]
         if "formulas" in include:
             fields.append(F.when(x["raw_kind"] == "formula", x["formula"]).alias("formula"))
         if "number_formats" in include:
@@ -74,7 +77,7 @@ def read_range(cells: DataFrame, workbook: str, sheet: str, range_text: str,
 
     return rows.select(
         "r", F.transform(F.sequence(F.lit(min_c), F.lit(max_c)), cell).alias("cells"),
-        F.lit(cut).alias("truncated"), F.lit(min(total, row_limit) if cut else total).cast("long").alias("rows_returned"),
+        F.lit(cut).alias("truncated"), F.lit(row_limit if cut else total).cast("long").alias("rows_returned"),
         F.lit(total).cast("long").alias("rows_scanned"),
     )
 
@@ -138,11 +141,12 @@ def range_growth(cells: DataFrame, ranges: DataFrame) -> DataFrame:
         "range_id", "r", "c", F.col("num").alias("value"), growth_pct(F.col("prev"), F.col("num")).alias("growth_pct"))
 
 
-def summarize_range(cells: DataFrame, workbook: str, sheet: str, range_text: str, growth: bool = False) -> DataFrame:
-    """A1/A2 of one range as a single row; the growth array is ordered row by row."""
+def summarize_range(cells: DataFrame, workbook: str, sheet: str, range_text: str, growth: bool = False,
+                    max_cells: int | None = None) -> DataFrame:
+    """A1/A2 of one range as a single row; the growth array is ordered row by row. ``max_cells`` refuses larger ranges."""
     min_r, min_c, max_r, max_c = a1.parse_range(range_text)
-    if (max_r - min_r + 1) * (max_c - min_c + 1) > MAX_READ_CELLS:
-        raise GuardError("range_too_large", f"{range_text} has more than {MAX_READ_CELLS} cells")
+    if max_cells is not None and (max_r - min_r + 1) * (max_c - min_c + 1) > max_cells:
+        raise GuardError("range_too_large", f"{range_text} has more than {max_cells} cells")
     one = cells.sparkSession.range(1).select(
         F.lit(range_text).alias("range_id"), F.lit(workbook).alias("workbook"), F.lit(sheet).alias("sheet"),
         *[F.lit(v).cast(t).alias(n) for n, v, t in (

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import matching as m
 from gridloom.functions.numbers import check_number, gold_number
 
 
-def score_answers(gold: DataFrame, answers: DataFrame) -> DataFrame:
-    """V7 on gold rows: pass, fail or missing per id. One answer per id (the last one given wins upstream)."""
-    got = answers.select("id", F.col("answer"), F.lit(True).alias("_answered"))
+def last_of(rows: DataFrame, order: str | None = None) -> DataFrame:
+    """One row per id: the last by ``order``, or the last as stored (rows of a file keep their order)."""
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    kept = rows.select("id", F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), at.alias("_at"))
+    return kept.groupBy("id").agg(F.max_by("_row", "_at").alias("_row")).select("_row.*")
+
+
+def score_answers(gold: DataFrame, answers: DataFrame, order: str | None = None) -> DataFrame:
+    """V7 on gold rows: pass, fail or missing per id. Of repeated ids the last one counts, in gold and answers."""
+    gold = last_of(gold, order if order in gold.columns else None)
+    got = last_of(answers, order if order in answers.columns else None).select("id", F.col("answer"), F.lit(True).alias("_answered"))
     joined = gold.join(got, "id", "left")
     number = gold_number(F.col("answer"))
     expected = F.col("expected").try_cast("double")
@@ -26,7 +34,13 @@ def score_answers(gold: DataFrame, answers: DataFrame) -> DataFrame:
         .otherwise(F.lit(False))
     )
     verdict = F.when(F.col("_answered").isNull(), "missing").when(ok, "pass").otherwise("fail")
-    return joined.select("id", verdict.alias("verdict"), "expected", F.col("answer").alias("got"))
+    return joined.select("id", verdict.alias("verdict"), "expected", F.col("answer").alias("got"),
+                         *[F.col(c) for c in ("source_ref",) if c in joined.columns])
+
+
+def truth(text: Column) -> Column:
+    """Truth of a JSON scalar read as text: true, or a number other than zero."""
+    return (F.lower(text) == "true") | F.coalesce(text.try_cast("double") != 0, F.lit(False))
 
 
 def score_checks(checks: DataFrame, answers: DataFrame) -> DataFrame:
@@ -41,7 +55,7 @@ def score_checks(checks: DataFrame, answers: DataFrame) -> DataFrame:
         F.when(F.col("error").isNotNull(), F.lit(False))
         .when(match == "relative", m.relative_match(number, expected, tol))
         .when(match == "absolute", m.absolute_match(number, expected, tol))
-        .when(match == "bool", m.bool_match(F.col("flag"), F.col("expect.value") == "true"))
+        .when(match == "bool", m.bool_match(F.col("flag"), truth(F.col("expect.value"))))
         .when(match.isin("values", "relative_map"), m.map_match(got_map, F.col("expect.values"), tol))
         .when(match == "trace_precedent_sheet", F.array_contains("precedent_sheets", F.col("expect.precedent_sheet")))
         .when(match == "trace_formula", (F.col("formula") == F.col("expect.formula"))

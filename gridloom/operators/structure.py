@@ -340,7 +340,7 @@ class Structure:
         cells = self.head.join(cols, [*REGION, "c"]).where(
             (F.col("r") >= F.col("data_start_row")) & (F.col("r") < F.col("data_start_row") + SAMPLE_ROWS))
         rows = cells.groupBy(*REGION, "r").agg(F.array_sort(F.collect_list(
-            F.struct("idx", "name", value.alias("value"), (F.col("raw_kind") == "text").alias("is_text")))).alias("cells"))
+            F.struct("idx", "name", value.alias("value"), F.col("raw_kind").isin("text", "formula").alias("is_text")))).alias("cells"))
         return rows.groupBy(*REGION).agg(F.array_sort(F.collect_list(F.struct("r", "cells"))).alias("sample"))
 
     # -- regions ----------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import text as tx
 from gridloom.lake import Lake
 from gridloom.session import configure, cut_lineage, ship_package
-from gridloom.sources.grid import complete_cells, literal_cell_columns, to_grid
+from gridloom.sources.grid import block_row_number, complete_cells, literal_cell_columns, to_grid
 
 _LAKES: dict[tuple, Lake] = {}
 
@@ -172,6 +172,28 @@ def formula_model(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def wide_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A total per region over the span of its customers, who stand in order of region; a customer names its nation."""
+    text = lambda v: literal_cell_columns(F.lit("text"), v, F.lit(None), F.lit(None))
+
+    def formula(df, sheet, r, c, f):
+        return complete_cells(df.select(
+            F.lit("lake").alias("workbook"), F.lit(sheet).alias("sheet"), r.cast("long").alias("r"), F.lit(c).alias("c"), F.lit("formula").alias("raw_kind"),
+            f.alias("raw_text"), f.alias("formula"), F.lit("float").alias("val_kind"), F.lit("1.0").alias("val_text"), F.lit(1.0).alias("val_num")))
+
+    nation, customer = table(spark, sf, "nation"), table(spark, sf, "customer")
+    people = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey", "n_regionkey")
+    placed = block_row_number(people.withColumn("all", F.lit(1)), ["all"], F.expr("n_regionkey * 1048576L + c_custkey div 65536"),
+                              [F.col("n_regionkey"), F.col("c_custkey")], "at")
+    spans = placed.groupBy("n_regionkey").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    total = F.concat(F.lit("=SUM(people!C"), F.col("lo"), F.lit(":$C$"), F.col("hi"), F.lit(")"))
+    names = nation.select(F.lit("lake").alias("workbook"), F.lit("nations").alias("sheet"), (F.col("n_nationkey") + 1).cast("long").alias("r"), F.lit(2).alias("c"),
+                          *text(F.col("n_name")))
+    return (formula(spans, "totals", F.col("n_regionkey") + 1, 1, total)
+            .unionByName(formula(placed, "people", F.col("at"), 3, F.concat(F.lit("=nations!B"), F.col("n_nationkey") + 1)))
+            .unionByName(complete_cells(names)))
+
+
 def part_sheets(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as one sheet per brand."""
     part = table(spark, sf, "part")
@@ -182,6 +204,4 @@ def part_sheets(spark: SparkSession, sf: str) -> DataFrame:
 
 def part_ranks(part: DataFrame) -> DataFrame:
     """Sheet row of each part in its brand's sheet (data from row 2), numbered in key blocks."""
-    from gridloom.sources.grid import block_row_number
-
     return block_row_number(part, ["p_brand"], F.expr("p_partkey div 65536"), [F.col("p_partkey")], "k").withColumn("r", F.col("k") + 1)

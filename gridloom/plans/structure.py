@@ -200,14 +200,14 @@ def safe_identifiers(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url")
     named = pages.select(
         F.lit("w").alias("workbook"), F.expr("cast(page_id div 100 as string)").alias("sheet"), F.lit(1).alias("min_r"), F.lit(1).alias("min_c"),
-        "page_id", (F.col("page_id") % 100 + 1).alias("idx"), tx.safe_identifier(F.regexp_replace("url", r"[?#].*$", ""), "column").alias("base"))
+        "page_id", (F.col("page_id") % 100 + 1).alias("idx"), tx.safe_identifier(F.col("url"), "column").alias("base"))
     return dedupe_names(named, "base", "name").select("page_id", "base", "name")
 
 
 SAFE_IDENTIFIERS = r"""
 with b as (
   select page_id, page_id // 100 as g, page_id % 100 + 1 as idx,
-    lower(regexp_replace(regexp_replace(trim(regexp_replace(url, '[?#].*$', '')), '\W+', '_', 'g'), '^_+|_+$', '', 'g')) as b0 from pages),
+    lower(regexp_replace(regexp_replace(trim(url), '[^\p{L}\p{Nd}\p{M}_]+', '_', 'g'), '^_+|_+$', '', 'g')) as b0 from pages),
 c as (select *, case when b0 = '' then 'column' when regexp_matches(b0, '^\d') then 'c_' || b0 else b0 end as base from b),
 n as (select *, row_number() over (partition by g, base order by idx) as k from c),
 t as (select *, case when k = 1 then base else base || '_' || k end as tried from n)

@@ -165,12 +165,15 @@ select line_item, lower(strftime(make_date(2000, cast(m as int), 1), '%b')) as m
 def months_pivot(spark, sf):
     orders = lake(spark, sf, inputs.four_sheets).table("orders_ledger_1")
     years = [str(y) for y in range(1995, 2002)]
-    return orders.withColumn("year", F.substring("o_orderdate", 1, 4)).groupBy("o_orderpriority").pivot("year", years).agg(
-        F.count(F.lit(1))).select("o_orderpriority", *[F.coalesce(F.col(y), F.lit(0)).alias(f"y{y}") for y in years])
+    year = F.substring("o_orderdate", 1, 4)
+    # Years that have no column of their own share one, so no order is left out.
+    return orders.withColumn("year", F.when(year.isin(*years), year).otherwise("other")).groupBy("o_orderpriority").pivot("year", [*years, "other"]).agg(
+        F.count(F.lit(1))).select("o_orderpriority", *[F.coalesce(F.col(y), F.lit(0)).alias(f"y_{y}" if y == "other" else f"y{y}") for y in [*years, "other"]])
 
 
 MONTHS_PIVOT = "select o_orderpriority, " + ", ".join(
-    f"count(*) filter (where year(o_orderdate) = {y}) as y{y}" for y in range(1995, 2002)) + " from orders group by o_orderpriority"
+    f"count(*) filter (where year(o_orderdate) = {y}) as y{y}" for y in range(1995, 2002)) + (
+    ", count(*) filter (where coalesce(year(o_orderdate), 0) not between 1995 and 2001) as y_other from orders group by o_orderpriority")
 
 
 def region_materialize(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -84,11 +85,30 @@ def shared_folder(spark: SparkSession) -> str:
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
-def cut_lineage(df: DataFrame, label: str) -> DataFrame:
-    """Write a (small, shared) intermediate to the shared folder and read it back.
+def cut_lineage(df: DataFrame, label: str, *partitions: str) -> DataFrame:
+    """Write an intermediate to the shared folder and read it back, on request partitioned by some columns.
 
-    Later plans start from a plain Parquet scan with known size, and a lost executor costs nothing.
+    Later plans start from a plain Parquet scan with known size, and a lost executor costs nothing. Folders made here
+    belong to the application and are removed when it ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/gridloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*partitions) if partitions else df.write
+    writer.parquet(path)
+    if not _OWNED:
+        atexit.register(_remove_owned)
+    _OWNED.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+
+
+_OWNED: list[tuple[SparkSession, str]] = []
+
+
+def _remove_owned() -> None:
+    """Best effort: a session that has already ended leaves its folders to the cluster's own clean-up."""
+    for spark, path in _OWNED:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:
+            return

@@ -12,6 +12,22 @@ SKIPPED_FOLDERS = (".git", "node_modules", "__pycache__", ".venv", "venv", ".cac
 LIST_LIMIT = 200
 
 
+def workbook_files(files: DataFrame, roots: list[str] | str, suffix: str = ".xlsx") -> DataFrame:
+    """The files of a listing (column path) that count as workbooks; adds ``_rel``, the path below its root.
+
+    Any case of the suffix counts; lock copies (``~$``) and files in hidden or noisy folders do not. Spark's file listing
+    itself leaves out names that start with ``_`` or a dot.
+    """
+    relative = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", "")
+    for root in [roots] if isinstance(roots, str) else roots:
+        base = re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", root).rstrip("/") + "/"
+        relative = F.when(F.startswith(relative, F.lit(base)), F.substr(relative, F.lit(len(base) + 1))).otherwise(relative)
+    name = F.substring_index("path", "/", -1)
+    noisy = "|".join(re.escape(s) for s in SKIPPED_FOLDERS)
+    return files.withColumn("_rel", relative).where(
+        F.lower(name).endswith(suffix) & ~name.startswith("~$") & ~F.col("_rel").rlike(rf"(^|/)(\.[^/]*|{noisy})/"))
+
+
 def glob_pattern(glob: str) -> str:
     """A file glob (``*``, ``?``, ``[..]``; ``*`` also crosses folders) as an anchored regex."""
     out, i = "", 0
@@ -43,15 +59,7 @@ def list_workbooks(spark: SparkSession, roots: list[str] | str, glob: str | None
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
         .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     )
-    relative = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", "")
-    for root in roots:
-        base = re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", root).rstrip("/") + "/"
-        relative = F.when(F.startswith(relative, F.lit(base)), F.substr(relative, F.lit(len(base) + 1))).otherwise(relative)
-    name = F.substring_index("path", "/", -1)
-    noisy = "|".join(re.escape(s) for s in SKIPPED_FOLDERS)
-    files = files.withColumn("_rel", relative).where(
-        F.lower(name).endswith(suffix) & ~name.startswith("~$")
-        & ~F.col("_rel").rlike(rf"(^|/)(\.[^/]*|{noisy})/"))
+    files, name = workbook_files(files, roots, suffix), F.substring_index("path", "/", -1)
     if glob:
         pattern = glob_pattern(glob)
         files = files.where(F.col("_rel").rlike(pattern) | name.rlike(pattern))

@@ -37,7 +37,6 @@ CELL_SCHEMA = T.StructType([
 CELL_COLUMNS = CELL_SCHEMA.fieldNames()
 
 NUMERIC_KINDS = ("int", "float")
-STRING_KINDS = ("text", "formula")
 FORMULA_KINDS = ("formula", "array_formula")
 
 # Rows of one key are numbered in blocks of this many, so no task sorts a whole key.

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.a1 import letters_to_number, number_to_letters, parse_range
-from gridloom.session import cut_lineage
+from gridloom.session import cut_lineage, ship_package
+from gridloom.sources.catalog import changed_files, workbook_files
 from gridloom.sources.grid import CELL_COLUMNS, CELL_SCHEMA
 
 # One scan row is a cell, or one piece of workbook metadata (see ``rec``).
@@ -269,13 +270,19 @@ class WorkbookScan:
     """Tables of one scan, stored once so that cells and metadata come from the same pass."""
 
     def __init__(self, files: DataFrame):
-        self.rows = cut_lineage(scan_workbooks(files), "scan")
+        ship_package(files.sparkSession)
+        self.rows = cut_lineage(scan_workbooks(files), "scan", "rec")
         self.failed = self.rows.where("rec = 'error'").select("workbook").distinct()
 
     @classmethod
-    def of_folder(cls, spark: SparkSession, path: str | list[str]) -> WorkbookScan:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xlsx")
-        return cls(files.load(path))
+    def of_folder(cls, spark: SparkSession, path: str | list[str], seen: DataFrame | None = None) -> WorkbookScan:
+        """All workbooks below a folder. ``seen``: versions (path, size, modified) that need no new scan."""
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path)
+        files = workbook_files(files, path)
+        if seen is not None:
+            versions = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+            files = files.join(changed_files(versions, seen).select("path"), "path", "left_semi")
+        return cls(files)
 
     def _part(self, rec: str) -> DataFrame:
         return self.rows.where(F.col("rec") == rec).join(self.failed, "workbook", "left_anti")
