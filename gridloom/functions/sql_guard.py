@@ -41,6 +41,7 @@ def sql_verdict(sql: Column) -> Column:
 _PIECE = re.compile(r"""'(?:[^'\\]|\\.|'')*'|--[^\n]*|/\*.*?\*/|`(?:[^`]|``)*`|"(?:[^"\\]|\\.|"")*"|\w+|\S""", re.S)
 # Functions that call into the machine or read what is named by a text, and file formats that can stand for a table.
 BLOCKED_FUNCTIONS = frozenset(("reflect", "java_method", "try_reflect", "identifier"))
+_FROM_FUNCTIONS = ("extract", "trim", "substring", "substr", "overlay")
 PATH_FORMATS = frozenset(("parquet", "csv", "json", "orc", "text", "avro", "binaryfile", "xml", "delta", "jdbc", "image", "libsvm"))
 
 
@@ -52,7 +53,12 @@ def refuse_side_doors(sql: str) -> None:
     """
     pieces = [p for p in _PIECE.findall(sql) if not p.startswith(("--", "/*"))]
     names = [p[1:-1].lower() if p[0] in "`\"" else p.lower() for p in pieces]
+    opened: list[str] = []  # what stands before each open parenthesis
     for i, (piece, name) in enumerate(zip(pieces, names)):
+        if piece == "(":
+            opened.append(names[i - 1] if i else "")
+        elif piece == ")" and opened:
+            opened.pop()
         after = pieces[i + 1] if i + 1 < len(pieces) else ""
         if name in BLOCKED_FUNCTIONS and after == "(":
             raise GuardError("mutating_sql_rejected", f"the function {name} is not allowed")
@@ -60,7 +66,8 @@ def refuse_side_doors(sql: str) -> None:
             raise GuardError("mutating_sql_rejected", "script transforms are not allowed")
         if name in PATH_FORMATS and after == "." and i + 2 < len(pieces) and pieces[i + 2][0] in "`\"":
             raise GuardError("mutating_sql_rejected", "a path is not a table")
-        if piece.lower() in ("from", "join") and i + 2 < len(pieces) and pieces[i + 2] == "." and after not in ("(", "'"):
+        inside = opened[-1] if opened else ""
+        if piece.lower() in ("from", "join") and inside not in _FROM_FUNCTIONS and i + 2 < len(pieces) and pieces[i + 2] == "." and after not in ("(", "'"):
             raise GuardError("mutating_sql_rejected", "tables are named in one part")
 
 

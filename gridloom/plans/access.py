@@ -32,11 +32,31 @@ select event_id, cast(user_id as varchar) as session_id,
 """
 
 
+def small_repeat_reads(spark, sf):
+    """T1 with its size rule: a read has as many cells as its event says, larger reads do not count; with the warning text.
+
+    One user in the log is busy far beyond the others: half of all events are dealt to one session.
+    """
+    reads = table(spark, sf, "events").select(
+        F.when(F.col("event_id") % 2 == 0, F.lit("busy")).otherwise(F.col("user_id").cast("string")).alias("session_id"), "event_id",
+        F.col("ts").alias("created_at"), F.col("event_type").alias("key"), (F.col("event_id") * 7 % 100 + 1).alias("n_cells"))
+    out = audit.repeat_reads(audit.small_reads(reads, F.col("n_cells")), ["created_at", "event_id"], F.date_trunc("hour", F.col("created_at")))
+    return out.select("event_id", "session_id", "times_read", F.when(F.col("warn"), audit.repeat_read_warning(F.col("key"), F.col("times_read"))).alias("warning"))
+
+
+SMALL_REPEAT_READS = """
+with r as (select event_id, ts, event_type, case when event_id % 2 = 0 then 'busy' else cast(user_id as varchar) end as s from events where event_id * 7 % 100 + 1 <= 64),
+n as (select *, row_number() over (partition by s order by ts, event_id) as n from r),
+c as (select event_id, s, event_type, 1 + count(*) over (partition by s, event_type order by n range between 200 preceding and 1 preceding) as t from n)
+select event_id, s as session_id, t as times_read, case when t >= 3 then 'Range ' || event_type || ' has been read ' || t || ' times this session.' end as warning from c
+"""
+
+
 def repeat_reads_stream(spark, sf):
     """T1 as a stream over the same log, run to its end, result read back."""
     base = f"{shared_folder(spark)}/gridloom/reads-{uuid.uuid4().hex}"
     schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(sf)
     reads = stream.select(F.col("user_id").cast("string").alias("session_id"), "event_id", F.col("ts").alias("created_at"), F.col("event_type").alias("key"))
     query = (
         stream_repeat_reads(reads).writeStream.format("parquet").option("path", f"{base}/out")
@@ -110,7 +130,7 @@ with t as (
 select conv_id, turn, {_verdict('sql')} as verdict, {_verdict('text')} as bare from t
 """
 
-QUERIES = {"repeat_reads": repeat_reads, "repeat_reads_stream": repeat_reads_stream, "audit_latest": audit_latest,
+QUERIES = {"small_repeat_reads": small_repeat_reads, "repeat_reads": repeat_reads, "repeat_reads_stream": repeat_reads_stream, "audit_latest": audit_latest,
            "audit_stats": audit_stats, "sql_guard": sql_guard}
-ORACLES = {"repeat_reads": REPEAT_READS, "repeat_reads_stream": REPEAT_READS, "audit_latest": AUDIT_LATEST,
+ORACLES = {"small_repeat_reads": SMALL_REPEAT_READS, "repeat_reads": REPEAT_READS, "repeat_reads_stream": REPEAT_READS, "audit_latest": AUDIT_LATEST,
            "audit_stats": AUDIT_STATS, "sql_guard": SQL_GUARD}
