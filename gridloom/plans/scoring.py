@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from gridloom.functions import matching as m
 from gridloom.functions import text as tx
 from gridloom.functions.numbers import check_number, gold_number
+from gridloom.operators import checks as ck
 from gridloom.operators import scoring as sc
-from gridloom.plans.inputs import table
+from gridloom.plans import inputs
+from gridloom.plans.inputs import lake, table
 from gridloom.session import shared_folder
 from gridloom.sources import jsonlines as jl
 
@@ -165,7 +167,37 @@ def score_report(spark, sf):
 SCORE_REPORT = f"""with {_SCORE}
 select count(*) filter (where verdict = 'pass') as passed, count(*) as total, (count(*) filter (where verdict = 'pass')) || '/' || count(*) as score from v"""
 
-QUERIES = {"check_matches": check_matches, "check_map": check_map, "gold_parse": gold_parse, "text_normalize": text_normalize,
+def check_suite(spark, sf):
+    """Three checks for every customer formula (value, formula text, precedents), extracted over the lake and scored.
+
+    The checks are written and loaded as JSON lines. Some expect what is not there, some name a missing sheet.
+    """
+    k, cell = F.col("c_custkey"), F.concat(F.lit("$B$"), F.col("c_custkey") + 1)
+    ref = lambda more: F.concat(F.lit("B"), (F.col("c_nationkey") + 1 + more).cast("string"))
+    spec = lambda kind, sheet: F.struct(F.lit(kind).alias("type"), sheet.alias("sheet"), cell.alias("cell"))
+    here, customers = F.lit("customer"), table(spark, sf, "customer")
+    name = lambda kind: F.concat(F.lit("c"), k, F.lit(f"-{kind}")).alias("id")
+    kinds = [
+        (name("cell"), spec("cell", here).alias("extract"), F.struct(
+            F.when(k % 7 == 0, 2.0).otherwise(1.0).alias("value"), F.lit("absolute").alias("match"), F.lit(0.5).alias("tol")).alias("expect")),
+        (name("formula"), spec("formula", here).alias("extract"), F.struct(
+            F.lit("formula_contains").alias("match"), F.array(F.lit("nation list"), ref(F.when(k % 5 == 0, 1).otherwise(0))).alias("contains")).alias("expect")),
+        (name("trace"), spec("trace", F.when(k % 3 == 0, F.lit("nowhere")).otherwise(here)).alias("extract"), F.struct(
+            F.lit("trace_formula").alias("match"), F.concat(F.lit("='nation list'!"), ref(0)).alias("formula"), F.array(ref(0)).alias("precedents")).alias("expect"))]
+    base = f"{shared_folder(spark)}/gridloom/checks-{uuid.uuid4().hex}"
+    for columns in kinds:
+        customers.select(*columns).write.mode("append").json(base)
+    checks = jl.read_json_lines(spark, base, jl.CHECK_SCHEMA)
+    return ck.check_suite(lake(spark, sf, inputs.formula_model), checks, "lake")
+
+
+CHECK_SUITE = """
+select 'c' || c_custkey || '-cell' as id, case when c_custkey % 7 = 0 then 'fail' else 'pass' end as verdict from customer
+union all select 'c' || c_custkey || '-formula', case when c_custkey % 5 = 0 then 'fail' else 'pass' end from customer
+union all select 'c' || c_custkey || '-trace', case when c_custkey % 3 = 0 then 'fail' else 'pass' end from customer
+"""
+
+QUERIES = {"check_suite": check_suite, "check_matches": check_matches, "check_map": check_map, "gold_parse": gold_parse, "text_normalize": text_normalize,
            "enum_match": enum_match, "score": score, "score_report": score_report}
-ORACLES = {"check_matches": CHECK_MATCHES, "check_map": CHECK_MAP, "gold_parse": GOLD_PARSE, "text_normalize": TEXT_NORMALIZE,
+ORACLES = {"check_suite": CHECK_SUITE, "check_matches": CHECK_MATCHES, "check_map": CHECK_MAP, "gold_parse": GOLD_PARSE, "text_normalize": TEXT_NORMALIZE,
            "enum_match": ENUM_MATCH, "score": SCORE, "score_report": SCORE_REPORT}

@@ -376,6 +376,10 @@ def best_region_kinds(spark, sf):
     return ranked.select("sheet", F.split("reason", " ")[0].alias("kind"))
 
 
+BEST_REGION_KINDS = f"""with shapes as ({REGION_SHAPES})
+select sheet, max_by(region_kind, case region_kind when 'summary' then 100 when 'table' then 60 when 'ledger' then 40 when 'parameters' then 20 else 0 end) as kind
+from shapes group by sheet"""
+
 QUERIES = {
     "grid_melt": grid_melt, "row_bands": row_bands, "regions_sparse": regions_sparse, "header_scores": header_scores,
     "header_row": header_row, "region_columns": region_columns, "region_shapes": region_shapes, "sample_rows": sample_rows,
@@ -388,5 +392,5 @@ ORACLES = {
     "header_row": HEADER_ROW, "region_columns": REGION_COLUMNS, "region_shapes": REGION_SHAPES, "sample_rows": SAMPLE_ROWS,
     "safe_identifiers": SAFE_IDENTIFIERS, "a1_addresses": A1_ADDRESSES, "period_row": PERIOD_ROW, "period_hits": PERIOD_HITS,
     "matrix_regions": MATRIX_REGIONS, "matrix_columns": MATRIX_COLUMNS, "sheet_profile": SHEET_PROFILE, "sheet_list": SHEET_LIST,
-    "table_list": TABLE_LIST, "best_source": BEST_SOURCE,
+    "table_list": TABLE_LIST, "best_source": BEST_SOURCE, "best_region_kinds": BEST_REGION_KINDS,
 }

@@ -10,6 +10,7 @@ from gridloom.functions.numbers import check_number, gold_number
 from gridloom.functions.percent import parse_percent
 from gridloom.functions.sql_guard import GuardError, require_read_only
 from gridloom.operators import audit, edits, scoring
+from gridloom.operators.checks import check_suite
 from gridloom.sources.catalog import list_workbooks
 from gridloom.sources.workbooks import WorkbookScan
 
@@ -190,3 +191,27 @@ def test_small_reads_and_open_audit_limit(spark):
     reads = spark.createDataFrame([(i, float(i), i % 3, "s") for i in range(200)], "event_id long, created_at double, n_cells long, session_id string")
     assert audit.small_reads(reads, F.col("n_cells") * 40).count() == sum(1 for i in range(200) if i % 3 * 40 <= 64)
     assert audit.latest_audit(reads).count() == 100 and audit.latest_audit(reads, limit=None).count() == 200
+
+
+def test_checks_of_every_kind(grid, spark):
+    lake = Lake(grid({"S": {"A1": "Vendor", "B1": "Amount", "A2": "Acme", "B2": 5, "A3": "Beta", "B3": 7}, "F": {"A1": "=SUM(S!B2:B3)+'S'!B2", "A2": 0}}))
+    sql = lambda i, text, **expect: (i, dict(type="sql", sql=text), expect)
+    rows = [
+        sql("sql", "select sum(amount) as v from s_ledger_1", value="12", match="absolute", tol=0.0),
+        sql("bad sql", "select nothing as v from s_ledger_1", value="12", match="absolute", tol=0.0),
+        sql("refused", "drop table x", value="12", match="absolute", tol=0.0),
+        sql("bool", "select sum(amount) > 3 as v from s_ledger_1", value="true", match="bool"),
+        sql("no bool", "select sum(amount) > 30 as v from s_ledger_1", value="1", match="bool"),
+        ("map", dict(type="sql_map", sql="select vendor as k, amount as v from s_ledger_1", key="k", val="v"), dict(values={"Acme": 5.0, "Beta": 7.0}, match="values", tol=0.0)),
+        ("cell", dict(type="cell", sheet="S", cell="b3"), dict(value="7", match="relative", tol=0.0)),
+        ("zero", dict(type="cell", sheet="F", cell="A2"), dict(value="false", match="bool")),
+        ("no sheet", dict(type="cell", sheet="X", cell="B3"), dict(value="7", match="relative", tol=0.0)),
+        ("formula", dict(type="formula", sheet="F", cell="$A$1"), dict(contains=["SUM", "B3"], match="formula_contains")),
+        ("trace", dict(type="trace", sheet="F", cell="A1", depth=1), dict(formula="=SUM(S!B2:B3)+'S'!B2", precedents=["B2"], match="trace_formula")),
+        ("sheet", dict(type="trace", sheet="F", cell="A1", depth=1), dict(precedent_sheet="S", match="trace_precedent_sheet")),
+        ("shallow", dict(type="trace", sheet="F", cell="A1", depth=0), dict(precedent_sheet="S", match="trace_precedent_sheet")),
+        ("odd", dict(type="magic"), dict(value="1", match="absolute"))]
+    from gridloom.sources.jsonlines import CHECK_SCHEMA
+    checks = spark.createDataFrame([(i, None, e, x) for i, e, x in rows], CHECK_SCHEMA)
+    got = {r.id: r.verdict for r in check_suite(lake, checks, "book.xlsx").collect()}
+    assert {i for i, v in got.items() if v == "fail"} == {"bad sql", "refused", "no bool", "no sheet", "shallow", "odd"} and len(got) == len(rows)
