@@ -107,20 +107,49 @@ class LineageGraph:
         Columns: root_sheet, root_ref, depth, path, parent_ref, node columns. Cycles end by depth.
         """
         depth = max(0, depth)
-        label = F.concat_ws("!", "sheet", "ref")
-        level = self.roots.select(
+        label = lambda sheet, ref: F.concat_ws("!", sheet, ref)
+        child = label("child_sheet", "child_ref")
+        # Down: the edges that start at each depth, once per distinct node however many roots share it.
+        edges, nodes = [], self.roots
+        for _ in range(depth):
+            found = cut_lineage(nodes.join(self.children.drop("at"), NODE), "level_edges")
+            edges.append(found)
+            nodes = found.select("workbook", F.col("child_sheet").alias("sheet"), F.col("child_ref").alias("ref")).distinct()
+        # Up: what lies below a node, as paths relative to it. Roots meet it in the last join only.
+        below = None
+        for step in reversed(edges):
+            first = step.select(
+                *NODE, F.col("child_sheet").alias("to_sheet"), F.col("child_ref").alias("to_ref"), F.lit(1).cast("long").alias("depth"),
+                label("sheet", "ref").alias("parent_ref"), child.alias("path"))
+            if below is not None:
+                under = below.select("workbook", F.col("sheet").alias("child_sheet"), F.col("ref").alias("child_ref"), "to_sheet", "to_ref", "depth", "parent_ref",
+                                     F.col("path").alias("rest"))
+                first = first.unionByName(step.join(under, ["workbook", "child_sheet", "child_ref"]).select(
+                    *NODE, "to_sheet", "to_ref", (F.col("depth") + 1).alias("depth"), "parent_ref", F.concat_ws(" > ", child, "rest").alias("path")))
+            below = first
+        own = label("sheet", "ref")
+        reached = self.roots.select(
             "workbook", F.col("sheet").alias("root_sheet"), F.col("ref").alias("root_ref"), "sheet", "ref",
-            F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("parent_ref"), label.alias("path"))
-        reached = level
-        for step in range(1, depth + 1):
-            child = F.concat_ws("!", "child_sheet", "child_ref")
-            level = level.join(self.children, NODE).select(
-                "workbook", "root_sheet", "root_ref", F.col("child_sheet").alias("sheet"), F.col("child_ref").alias("ref"),
-                F.lit(step).cast("long").alias("depth"), label.alias("parent_ref"),
-                F.concat_ws(" > ", "path", child).alias("path"))
-            reached = reached.unionByName(level)
+            F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("parent_ref"), own.alias("path"))
+        if below is not None:
+            reached = reached.unionByName(below.select(
+                "workbook", F.col("sheet").alias("root_sheet"), F.col("ref").alias("root_ref"), F.col("to_sheet").alias("sheet"), F.col("to_ref").alias("ref"),
+                "depth", "parent_ref", F.concat_ws(" > ", own, "path").alias("path")))
         return reached.join(self.node_values(), NODE, "left") if with_values else reached
 
+    def reachable(self, depth: int = MAX_DEPTH) -> DataFrame:
+        """The distinct nodes that each root reaches, with the least depth. Paths are not kept, so shared parts cost once."""
+        level = self.roots.select(*NODE, F.col("sheet").alias("to_sheet"), F.col("ref").alias("to_ref"), F.lit(0).cast("long").alias("depth"))
+        seen = cut_lineage(level, "reached")
+        level = seen
+        for step in range(1, max(0, depth) + 1):
+            further = level.select("workbook", F.col("sheet").alias("_s"), F.col("ref").alias("_r"), F.col("to_sheet").alias("sheet"), F.col("to_ref").alias("ref")).join(
+                self.children.drop("at"), NODE).select(
+                "workbook", F.col("_s").alias("sheet"), F.col("_r").alias("ref"), F.col("child_sheet").alias("to_sheet"), F.col("child_ref").alias("to_ref")).distinct()
+            level = cut_lineage(further.join(seen, [*NODE, "to_sheet", "to_ref"], "left_anti").withColumn("depth", F.lit(step).cast("long")), "reached")
+            seen = seen.unionByName(level)
+        return seen.select("workbook", F.col("sheet").alias("root_sheet"), F.col("ref").alias("root_ref"), F.col("to_sheet").alias("sheet"), F.col("to_ref").alias("ref"), "depth")
+
 
 def trace_cell(cells: DataFrame, workbook: str, sheet: str, cell: str, depth: int = MAX_DEPTH, **options) -> DataFrame:
     root = cells.sparkSession.range(1).select(

@@ -215,3 +215,14 @@ def test_checks_of_every_kind(grid, spark):
     checks = spark.createDataFrame([(i, None, e, x) for i, e, x in rows], CHECK_SCHEMA)
     got = {r.id: r.verdict for r in check_suite(lake, checks, "book.xlsx").collect()}
     assert {i for i, v in got.items() if v == "fail"} == {"bad sql", "refused", "no bool", "no sheet", "shallow", "odd"} and len(got) == len(rows)
+
+
+def test_diamonds_are_reached_once(grid, spark):
+    from gridloom.operators.lineage import LineageGraph
+    wide = {f"{c}{i}": f"=A{i + 1}+B{i + 1}" for i in range(1, 9) for c in "AB"}  # 2^8 paths, 18 nodes
+    cells = Lake(grid({"S": wide})).cells
+    roots = spark.createDataFrame([("book.xlsx", "S", "A1")], "workbook string, sheet string, ref string")
+    graph = LineageGraph(cells, roots)
+    got = {r.ref: r.depth for r in graph.reachable(12).collect()}
+    assert got == {"A1": 0, **{f"{c}{i}": i - 1 for i in range(2, 10) for c in "AB"}}
+    assert graph.trace(4, with_values=False).count() == 1 + 2 + 4 + 8 + 16
