@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ASCII_SPACE, as_text, raw_texts, stored, vocabulary_path
+from gridloom.llm.common import ASCII_SPACE, as_text, raw_texts, stored, text_or_empty, vocabulary_path
 from gridloom.llm.tokens import BYTE_BPE, BYTE_BPE_RANKS, token_ids
 
 SYMBOLS = b"#*$%&|<>"
@@ -214,7 +214,13 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str =
         "doc_id", *[F.col(f"_quality.{n}").alias(n) for n in names], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
-def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that pass, with their own columns. The measured rows are stored whole, so texts are not shuffled."""
-    measured = stored(measure(docs, rules, text_col), "quality-documents")
-    return judge(measured, rules, lang_col).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text",
+              lang_col: str = "lang") -> DataFrame:
+    """The documents that pass, with their own columns. Only narrow rows are stored; texts are joined to the verdicts."""
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_key"), F.col(lang_col).alias("lang"),
+                         F.col(text_col).alias("text"))
+    measured = stored(measure(narrow, rules, drop_text=True), "quality-measures")
+    good = judge(measured, rules).where("_kept").select(
+        F.col("doc_id").alias("_good_id"), F.col("text_key").alias("_good_key"), F.col("lang").alias("_good_lang")).distinct()
+    same = docs[id_col].eqNullSafe(good["_good_id"]) & docs[lang_col].eqNullSafe(good["_good_lang"])
+    return docs.join(good, same & (F.xxhash64(text_or_empty(text_col)) == good["_good_key"]), "left_semi")

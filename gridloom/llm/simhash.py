@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import raw_texts, stored
@@ -227,11 +227,20 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_limit: int = LIST_LIMIT) -> DataFrame:
-    """One document of every group of near duplicates, that with the least id, with its own columns."""
-    whole = stored(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), text_col), "simhash-documents")
-    prints = whole.select(F.col(id_col).alias("doc_id"), "_fp", "_row")
+    """One document of every group of near duplicates, that with the least id, with its own columns.
+
+    Only narrow rows are stored; texts are joined to the ids that stay. Of repeated rows one stays.
+    """
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), key.alias("text_key"), F.col(text_col).alias("text"))
+    prints = stored(fingerprints(narrow, drop_text=True), "simhash-prints")
     found = near_duplicates(prints, list_limit)
     # Null ids come last, so that a document with an id stays where there is one.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    best = prints.join(found, prints["_fp"] == found["fp"]).groupBy("root").agg(first.alias("b")).select(F.col("b._row").alias("_best"))
-    return whole.join(stored(best, "simhash-kept"), F.col("_row") == F.col("_best"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    best = stored(prints.join(found, prints["_fp"] == found["fp"]).groupBy("root").agg(first.alias("b")).select(
+        F.col("b.doc_id").alias("_best_id"), F.col("b.text_key").alias("_best_key")), "simhash-kept")
+    keyed = docs.withColumn("_own_key", key)
+    kept = keyed.join(best, keyed[id_col].eqNullSafe(best["_best_id"]) & (keyed["_own_key"] == best["_best_key"]))
+    # One row of each best document, in the partitions of the join.
+    nth = F.row_number().over(Window.partitionBy(F.coalesce(F.col("_best_id"), F.lit(0)), F.col("_best_id").isNull(), "_best_key").orderBy(F.lit(0)))
+    return kept.withColumn("_nth", nth).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
