@@ -126,7 +126,8 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     train = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     # Distinct texts per language, estimated from the share of hashes below a bound, give a bound that leaves few too many.
-    sizes = train.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    # Stored, so that its few rows have a known size and the texts are not shuffled by language to meet them.
+    sizes = stored(train.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "language-sizes")
     share = F.least(F.lit(1.0), F.lit(2.0 * rows + 50) / F.col("n"))
     near = train.join(sizes, "lang").where((F.col("h").cast("double") / 2.0**64 + 0.5) <= share).groupBy("lang", "h").agg(F.min("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
