@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from gridloom.llm import components, exact_dedup, line_dedup, simhash, suffix_dedup
+from gridloom.llm.similar_texts import SimilarRules, keep_one_similar, shingles
 from gridloom.llm.suffix_dedup import RepeatRules, remove_repeats
 
 
@@ -206,6 +208,33 @@ def test_simhash_keeps_one(nasty, empty):
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicate_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [2048, 4])
+def test_stage_removes_near_copies_beyond_three_bits(spark, empty, limit):
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    texts = []
+    for _ in range(40):  # 120 words, copies with one to three words changed: Jaccard down to 0.77
+        own = [word() for _ in range(120)]
+        texts.append(" ".join(own))
+        for changed in (1, 2, 3):
+            copy = list(own)
+            for at in (10, 55, 100)[:changed]:
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    sets = [set(shingles(t.encode()).tolist()) for t in texts]
+    lead = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                lead = [lead[j] if x == lead[i] else x for x in lead] if lead[i] > lead[j] else [lead[i] if x == lead[j] else x for x in lead]
+    prints = [plain_fingerprint(t) for t in texts]
+    assert len(set(plain_groups(prints))) > 1.5 * len(set(lead))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in keep_one_similar(df, SimilarRules(list_limit=limit)).collect()) == sorted(set(lead))
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, "").collect()) == sorted(set(lead))
+    assert keep_one_similar(empty).count() == 0
+
+
 def test_triples_reach_every_pair():
     from itertools import combinations
     assert all(any(set(t) <= set(five) for t in simhash.TRIPLES) for five in combinations(range(8), 5))
