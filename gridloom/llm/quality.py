@@ -4,9 +4,10 @@ One narrow pass over whole texts gives, per document, the base counts and three
 vocabularies: characters per token and the entropy of the tokens (byte-level BPE), and the share of bytes that a piece
 vocabulary has to spell byte by byte. A document is rejected when a measure leaves the band of its language (its
 script, where the language is null). Bands come from all documents that pass the base rules: the median and the median
-absolute deviation, from exact histograms of rounded values in which copies count once. As a mean over n tokens spreads
+absolute deviation, from exact histograms of rounded values in which exact copies count once. As a mean over n tokens spreads
 like 1/sqrt(n), bands are kept per half octave of n and never narrower than that law, so a large group of near copies
-cannot close a band on the others.
+cannot close a band on the others. Half octaves with fewer than ``least_docs`` documents take the spread of the language,
+and languages with fewer that of their script, so that a document alone in its place does not set its own band.
 
 Defined cases: a null or empty text has no words, fails the base rules and is not kept; a null language counts by
 script; repeated rows get equal verdicts; an empty table gives an empty result; other columns are never read.
@@ -49,6 +50,7 @@ class QualityRules:
     chars_spread: float = 0.8          # least deviation of characters per token, times sqrt(n)
     entropy_spread: float = 2.0        # least deviation of the entropy, times sqrt(n)
     byte_share_spread: float = 0.02    # least deviation of the byte-fallback share
+    least_docs: int = 30               # documents that a band of its own needs
     vocabulary: str = BYTE_BPE
     ranks: str | None = BYTE_BPE_RANKS
     pieces: str = "piece_bpe_32k.model"
@@ -167,26 +169,70 @@ def _grouped(measured: DataFrame, lang_col: str) -> DataFrame:
         "_bin": F.floor(F.log2(F.greatest(q["n_tokens"], F.lit(1))) * 2).cast("int")})
 
 
+def _least_of(df: DataFrame, keys: list[str], order: list, names: list[str]) -> DataFrame:
+    """The first row by ``order`` of each key."""
+    first = F.min(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *names)).alias("x")
+    return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"x.{n}") for n in names])
+
+
 def bands(measured: DataFrame, rules: QualityRules = QualityRules(), lang_col: str = "lang") -> DataFrame:
-    """(_group, _bin) with the band of each measure: one row per language and half octave of token counts."""
+    """(_group, _script, _bin) with the band of each measure: rows per language, script and half octave of token counts.
+
+    A spread or middle comes from the narrowest of these with ``least_docs`` documents: the half octave of the language,
+    the language (deviations times sqrt(n)), the populated languages of the script, whose bands are then joined. Where not
+    even the script has them, its own values stand, as nothing says what is usual in it.
+    """
     q = F.col("_quality")
     value = lambda name: F.round(q[name] * _GRAIN).cast("long")
+    copies = ["_text_key"] if "_text_key" in measured.columns else []
     rows = _grouped(measured, lang_col).where(~_base_failed(rules)).select(
-        "_group", "_bin", q["n_tokens"].alias("t"), value("chars_per_token").alias("c"), value("entropy").alias("h"), value("byte_share").alias("b")).distinct()
+        "_group", "_bin", q["script"].alias("_script"), q["n_tokens"].alias("t"), value("chars_per_token").alias("c"), value("entropy").alias("h"),
+        value("byte_share").alias("b"), *copies).distinct()
     # One histogram per measure: rounded values by language and half octave, whatever the number of documents.
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("kind"), F.col(m).alias("v")) for m in "chb"])).alias("x")
-    counts = stored(rows.select("_group", "_bin", each).groupBy("_group", "_bin", F.col("x.kind").alias("kind"), F.col("x.v").alias("v")).agg(
-        F.count(F.lit(1)).alias("n")), "quality-values")
+    by_script = stored(rows.select("_group", "_script", "_bin", each).groupBy(
+        "_group", "_script", "_bin", F.col("x.kind").alias("kind"), F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("n")), "quality-values")
+    counts = by_script.groupBy("_group", "_bin", "kind", "v").agg(F.sum("n").alias("n"))
+    least, scale = rules.least_docs, 1.4826 / _GRAIN  # of a normal distribution
+    sizes = stored(counts.where("kind = 'c'").groupBy("_group", "_bin").agg(F.sum("n").alias("n_bin")), "quality-sizes")
+    wide = sizes.groupBy("_group").agg(F.sum("n_bin").alias("n_group"))
+    # The script with most documents of each language: thin languages are judged by the populated ones of their script.
+    home = _least_of(by_script.where("kind = 'c'").groupBy("_group", "_script").agg(F.sum("n").alias("n")), ["_group"], [-F.col("n")], ["_script"])
+    root = F.pow(F.lit(2.0), (F.col("_bin") + 0.5) / 4)  # of the tokens in the middle of a half octave
+    out = sizes.join(wide, "_group").join(home, "_group")
     # Characters per token and the byte share keep their middle at all lengths; the entropy has one per half octave.
-    middle, spread_by = {"c": ["_group"], "h": ["_group", "_bin"], "b": ["_group"]}, {"c": ["_group", "_bin"], "h": ["_group", "_bin"], "b": ["_group"]}
-    out, scale = counts.select("_group", "_bin").distinct(), 1.4826 / _GRAIN  # of a normal distribution
+    middle = {"c": ["_group"], "h": ["_group", "_bin"], "b": ["_group"]}
     for m in "chb":
         own = counts.where(F.col("kind") == m).select("_group", "_bin", "v", "n")
-        mid = _median(own, middle[m]).withColumnRenamed("med", f"{m}_mid")
+        mid = stored(_median(own, middle[m]).withColumnRenamed("med", f"{m}_mid"), "quality-middles")
         away = own.join(mid, middle[m]).withColumn("v", F.abs(F.col("v") - F.col(f"{m}_mid")))
-        out = out.join(mid, middle[m]).join(_median(away, spread_by[m]).withColumnRenamed("med", f"{m}_mad"), spread_by[m])
-    return out.select("_group", "_bin", *[(F.col(f"{m}_mid") / _GRAIN).alias(f"{m}_mid") for m in "chb"],
-                      *[(F.col(f"{m}_mad") * scale).alias(f"{m}_dev") for m in "chb"])
+        scaled = away if m == "b" else away.withColumn("v", F.round(F.col("v") * root).cast("long"))
+        out = out.join(mid, middle[m]).join(_median(scaled, ["_group"]).withColumnRenamed("med", f"{m}_wide"), "_group")
+        if m != "b":
+            out = out.join(_median(away, ["_group", "_bin"]).withColumnRenamed("med", f"{m}_mad"), ["_group", "_bin"])
+    out = stored(out, "quality-levels")
+    # The entropy of a thin half octave: the nearest populated one of the language or of the script, shorter ones first.
+    # It grows with the length, by half a bit at most per half octave, so one from longer texts is lowered by that.
+    full = out.where(F.col("n_bin") >= least).select(F.col("_group").alias("_g"), F.col("_script").alias("_s"), F.col("_bin").alias("_b"), F.col("h_mid").alias("_h"))
+    thin = out.where(F.col("n_bin") < least).select("_group", "_bin", "_script", "n_group")
+    same = F.when(F.col("n_group") >= least, F.col("_group") == F.col("_g")).otherwise(F.col("_script") == F.col("_s"))
+    lower = F.greatest(F.col("_b") - F.col("_bin"), F.lit(0)) * (_GRAIN // 2)
+    near = thin.join(F.broadcast(full), same).select("_group", "_bin", F.abs(F.col("_b") - F.col("_bin")).alias("_far"), (F.col("_b") > F.col("_bin")).alias("_up"),
+                                                     (F.col("_h") - lower).alias("_near"))
+    near = _least_of(near, ["_group", "_bin"], [F.col("_up"), F.col("_far"), F.col("_near")], ["_near"])
+    # Joined bands of the populated languages of a script.
+    known = out.where(F.col("n_group") >= least).groupBy("_script").agg(
+        F.min("c_mid").alias("_low"), F.max("c_mid").alias("_high"), F.max("b_mid").alias("_b_mid"), *[F.max(f"{m}_wide").alias(f"_{m}_wide") for m in "chb"])
+    out = out.join(near, ["_group", "_bin"], "left").join(known, "_script", "left")
+    alone = (F.col("n_group") < least) & F.col("_low").isNotNull()
+    wide_of = lambda m: F.when(alone, F.col(f"_{m}_wide")).otherwise(F.col(f"{m}_wide"))
+    dev = lambda m: F.when(F.col("n_bin") >= least, F.col(f"{m}_mad")).otherwise(wide_of(m) / root) * scale
+    return out.select(
+        "_group", "_bin", (F.when(alone, (F.col("_low") + F.col("_high")) / 2).otherwise(F.col("c_mid")) / _GRAIN).alias("c_mid"),
+        (F.when(alone, (F.col("_high") - F.col("_low")) / 2).otherwise(0.0) / _GRAIN).alias("c_half"),
+        (F.when(F.col("n_bin") >= least, F.col("h_mid")).otherwise(F.coalesce("_near", "h_mid")) / _GRAIN).alias("h_mid"),
+        (F.when(alone, F.col("_b_mid")).otherwise(F.col("b_mid")) / _GRAIN).alias("b_mid"),
+        dev("c").alias("c_dev"), dev("h").alias("h_dev"), (wide_of("b") * scale).alias("b_dev"))
 
 
 def judge(measured: DataFrame, rules: QualityRules = QualityRules(), lang_col: str = "lang") -> DataFrame:
@@ -195,7 +241,7 @@ def judge(measured: DataFrame, rules: QualityRules = QualityRules(), lang_col: s
     q, root = F.col("_quality"), F.sqrt(F.greatest(F.col("_quality")["n_tokens"], F.lit(1)).cast("double"))
     least = lambda name, floor: rules.band_width * F.greatest(F.col(f"{name}_dev"), floor)
     outside = (
-        (F.abs(q["chars_per_token"] - F.col("c_mid")) > least("c", rules.chars_spread / root))
+        (F.abs(q["chars_per_token"] - F.col("c_mid")) - F.col("c_half") > least("c", rules.chars_spread / root))
         | (F.col("h_mid") - q["entropy"] > least("h", rules.entropy_spread / root))
         | (q["byte_share"] - F.col("b_mid") > least("b", F.lit(rules.byte_share_spread))))
     # Left to the planner: a few rows per language, broadcast by measured size only.
@@ -207,7 +253,8 @@ def judge(measured: DataFrame, rules: QualityRules = QualityRules(), lang_col: s
 def quality(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text",
             lang_col: str = "lang") -> DataFrame:
     """One row per document: base counts, fertility measures, ``base_failed`` and ``kept``."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("_text_key"), F.col(text_col).alias("text"),
+                         F.col(lang_col).alias("lang"))
     measured = stored(measure(narrow, rules, drop_text=True), "quality-measures")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "chars_per_token", "byte_share", "entropy")
     return judge(measured, rules).select(
@@ -217,10 +264,10 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str =
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text",
               lang_col: str = "lang") -> DataFrame:
     """The documents that pass, with their own columns. Only narrow rows are stored; texts are joined to the verdicts."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_key"), F.col(lang_col).alias("lang"),
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("_text_key"), F.col(lang_col).alias("lang"),
                          F.col(text_col).alias("text"))
     measured = stored(measure(narrow, rules, drop_text=True), "quality-measures")
     good = judge(measured, rules).where("_kept").select(
-        F.col("doc_id").alias("_good_id"), F.col("text_key").alias("_good_key"), F.col("lang").alias("_good_lang")).distinct()
+        F.col("doc_id").alias("_good_id"), F.col("_text_key").alias("_good_key"), F.col("lang").alias("_good_lang")).distinct()
     same = docs[id_col].eqNullSafe(good["_good_id"]) & docs[lang_col].eqNullSafe(good["_good_lang"])
     return docs.join(good, same & (F.xxhash64(text_or_empty(text_col)) == good["_good_key"]), "left_semi")

@@ -68,6 +68,21 @@ def test_quality_verdicts(spark):
     assert not any(got[i].kept for i in range(150, 154)) and sum(got[i].kept for i in range(150)) > 145
 
 
+def test_quality_of_thin_lengths_and_languages(spark):
+    """Bad texts alone in their half octave, or in a rare language, do not set their own band; good ones there stay."""
+    rng = random.Random(15)
+    texts = [(words(rng, rng.randint(100, 140), "aeiounrst"), "en") for _ in range(80)]
+    texts += [(words(rng, n, "aeiounrst"), "en") for n in (1500, 4000)] + [(words(rng, 120, "aeiounrst"), "xx")]
+    first_bad = len(texts)
+    junk = lambda n: " ".join(w + "#####" for w in words(rng, n).split())
+    texts += [(junk(900), "en"), (junk(3000), "en"), (junk(9000), "en"), (junk(120), "yy"), (words(rng, 500).upper(), "zz")]
+    rows = [(i, *r) for i, r in enumerate(texts)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert sum(got[i].kept for i in range(80)) > 76 and all(got[i].kept for i in range(80, first_bad))
+    assert not any(got[i].kept for i in range(first_bad, len(rows)))
+
+
 def test_repeated_words_of_random_texts():
     rng = random.Random(5)
     for _ in range(200):
