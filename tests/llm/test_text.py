@@ -118,6 +118,18 @@ def test_kernel_is_the_share_of_common_grams():
     assert len(language.grams("12 3!", "abcd")) == 0
 
 
+def test_language_tells_scripts_with_many_letters_apart(spark):
+    rng = random.Random(14)
+    latin = [words(rng, 30, "abcdefghijklmnopqrstuvwxyzàâäçèéêëîïôöûüßñ") for _ in range(600)]
+    han = lambda first: "".join(chr(rng.randint(first, first + 300)) + rng.choice(["", "", "，"]) for _ in range(80))
+    cyrillic = [words(rng, 30, "абвгдежзийклмнопрстуфхцчшщъыьэюя") for _ in range(600)]
+    texts = [(t, "aa") for t in latin] + [(t, "ru") for t in cyrillic] + [(han(0x4E00), "x1") for _ in range(120)] + [(han(0x6000), "x2") for _ in range(120)]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(texts)]
+    got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    assert not set(language.grams("漢字")) & set(language.grams("かな")) - {language.BOUNDARY}
+
+
 # ---- extraction ------------------------------------------------------------------------------------------------------
 
 def test_best_run_is_maximal():
