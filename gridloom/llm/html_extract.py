@@ -43,6 +43,13 @@ NOT_ARTICLE = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|notices?|alerts?|popup|modal|overlay|menus?|nav\w*|breadcrumbs?|"
     r"side-?bars?|widgets?|footer|header|masthead|comments?|replies|disqus|respond|share|social|related|recommended|newsletter|subscribe|login|"
     r"signup|search|pagination|copyright|legal|disclaimer)(?:[^a-z]|$)")
+#: Class or id words that say what a wrapper goes with, not what it is.
+_BESIDE = re.compile(r"(?:^|(?<=\s))(?:has|have|with|without|no|show|hide)[-_]\S*")
+#: Places that an article inside does not leave: elements, and whole words of a class or id.
+_HARD_PLACES = PLACES - frozenset("form header".split())
+_HARD_NAMES = re.compile(r"(?:^|\s)(?:ads?|advert\w*|sponsor\w*|promo\w*|side-?bars?|widgets?|comments?|replies|disqus|respond|related|recommended)(?:\s|$)")
+#: What a head can hold.
+_IN_HEAD = frozenset("html head title base basefont bgsound link meta noframes noscript script style template".split())
 _CLOSES_P = BLOCKS - frozenset("body head html title option optgroup".split())
 _SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
@@ -68,7 +75,7 @@ Token = tuple[str, str, str, bool, bool]
 
 def tokens(page: str) -> list[Token]:
     out: list[Token] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, place around, inside the named article
+    stack: list[tuple[str, str, bool, bool]] = []  # tag, place around, inside the named article, whether the place is a hard one
 
     def leave(names: frozenset | set, stop: frozenset = frozenset()) -> None:
         for at in range(len(stack) - 1, -1, -1):
@@ -79,12 +86,14 @@ def tokens(page: str) -> list[Token]:
                 return
 
     for m in _TOKEN.finditer(page):
-        place, named = stack[-1][1:] if stack else ("", False)
-        if (text := m["text"]) is not None:
-            if any(t in OPAQUE for t, _, _ in stack):
+        if (text := m["text"]) is not None and stack and stack[-1][0] == "head" and text.strip():
+            leave({"head"})  # the end tag is optional
+        place, named, hard = stack[-1][1:] if stack else ("", False, False)
+        if text is not None:
+            if any(s[0] in OPAQUE for s in stack):
                 continue
-            inner = next((t for t, _, _ in reversed(stack) if t in BLOCKS), "")
-            linked = any(t == "a" for t, _, _ in stack)
+            inner = next((s[0] for s in reversed(stack) if s[0] in BLOCKS), "")
+            linked = any(s[0] == "a" for s in stack)
             out.append(("text", f"{place}|{inner}{'>a' if linked else ''}", text, False, named))
             continue
         tag = (m["tag"] or "").lower()
@@ -94,22 +103,26 @@ def tokens(page: str) -> list[Token]:
             leave({tag}, frozenset() if tag in BLOCKS else BLOCKS)
             out.append(("close", tag, "", tag in BLOCKS, named))
             continue
+        if tag == "body" or (tag not in _IN_HEAD and any(s[0] == "head" for s in stack) and not any(s[0] in OPAQUE and s[0] != "head" for s in stack)):
+            leave({"head"})
         if tag in _CLOSES_P:
             leave({"p"}, frozenset(("td", "th", "table", "button", "article", "section", "div", "body", "aside", "main", "li")) if tag != "p" else frozenset(("td", "th", "div", "section", "article", "aside", "main", "li")))
         if tag in _SAME:
             leave(set(_SAME[tag].split()), frozenset(("ul", "ol", "menu", "dl", "table", "select")))
-        place, named = stack[-1][1:] if stack else ("", False)
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(m["rest"])).lower()
-        if found := NOT_ARTICLE.search(names) if names and tag not in ("html", "body", "article", "main") else None:
-            place = place or f".{found[0].strip(' -_')}"
+        place, named, hard = stack[-1][1:] if stack else ("", False, False)
+        names = _BESIDE.sub(" ", " ".join(a or b or c for a, b, c in _NAMES.findall(m["rest"])).lower())
+        if tag == "main" or (tag == "article" and not named and not hard and not _HARD_NAMES.search(names)):
+            place, hard = "", False  # what is around the article does not make it less of one
+        elif found := NOT_ARTICLE.search(names) if names and tag not in ("html", "body", "article") else None:
+            place, hard = place or f".{found[0].strip(' -_')}", hard or bool(_HARD_NAMES.search(names)) or tag in _HARD_PLACES
         elif tag in PLACES and not (tag == "header" and named):
-            place = place or tag
+            place, hard = place or tag, hard or tag in _HARD_PLACES
         out.append(("open", tag, "", tag in BLOCKS, named))
         if tag in ("br", "wbr", "hr"):
             if tag == "br":
                 out.append(("text", "", " ", False, named))
         if tag not in VOID and not m["rest"].endswith("/"):
-            stack.append((tag, place, named or tag in ("article", "main")))
+            stack.append((tag, place, named or tag in ("article", "main"), hard))
     return out
 
 

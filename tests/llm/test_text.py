@@ -164,6 +164,23 @@ def test_pages(spark):
     assert {r.text for r in unlabelled} == {TEXT.format(n=i) for i in range(3)}
 
 
+@pytest.mark.parametrize("before, after", [("<div class='has-sidebar'>", "</div>"), ("<div class='wrap with-comments'>", "</div>"),
+                                           ("<div class='page-header'>", "</div>"), ("<form id='aspnet'>", "</form>"), ("<header>", "</header>")])
+def test_pages_keep_an_article_inside_wrappers(spark, before, after):
+    article = "<article><h2>Title</h2><p>One two three four five six.</p><div class='ad'>Buy this</div><p>Last words of it.</p></article>"
+    rows = [(i, "u", f"<html><head><title>T</title></head><body><nav><a href='/'>Home</a></nav>{before}{article}{after}<div id='comments'><article class='c'>"
+             "<p>Great post</p></article></div><aside><article><p>Other story</p></article></aside></body></html>") for i in range(10)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {"Title\nOne two three four five six.\nLast words of it."}
+
+
+@pytest.mark.parametrize("start", ["<body>", "<div>", ""])
+def test_pages_without_the_end_of_the_head(spark, start):
+    page = f"<html><head><title>T</title><meta charset=x><noscript><img src=x></noscript><script>a()</script>{start}<p>One two three four five six.</p>"
+    row = html_extract.extract_pages(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()
+    assert row.text == "One two three four five six."
+
+
 # ---- tokens and packing ----------------------------------------------------------------------------------------------
 
 def test_ranks_give_the_ids_of_the_vocabulary():
