@@ -191,6 +191,14 @@ def test_ranks_give_the_ids_of_the_vocabulary():
         assert np.array_equal(tokens.token_ids(t), tokens.library_ids(t)), t[:50]
 
 
+def test_added_tokens_have_their_own_ids():
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(tokens.vocabulary_path(tokens.BYTE_BPE))
+    for t in ("<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n y ", "  <|endoftext|>  ", "<|endoftext|", "<|<|endoftext|>|>"):
+        assert tokens.token_ids(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    assert tokens.token_ids("a<|endoftext|>b").tolist().count(50256) == 1
+
+
 def plain_ids(text, end):
     return np.append(tokens.library_ids(text or ""), np.uint32(end))
 
