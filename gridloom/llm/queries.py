@@ -121,5 +121,25 @@ def op10_language_id(spark, sf):
     return identify(documents(spark, sf))
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_suffix_dedup, op3_token_output, op4_html_text, op5_pack, op6_quality_rules, op7_mix_sources, op8_line_dedup, op9_simhash, op10_language_id)}
+def op11_spelling_variants(spark, sf):
+    from gridloom.llm.spelling import spelling_variants
+
+    return spelling_variants(documents(spark, sf))
+
+
+def op12_harmonic_pack(spark, sf):
+    from gridloom.llm.harmonic import pack_harmonic
+
+    return pack_harmonic(documents(spark, sf))
+
+
+def op13_align_tokenizers(spark, sf):
+    from gridloom.llm.alignment import align_tokenizers
+
+    return align_tokenizers(documents(spark, sf))
+
+
+QUERIES = {q.__name__: q for q in (
+    op1_exact_dedup, op2_suffix_dedup, op3_token_output, op4_html_text, op5_pack, op6_quality_rules, op7_mix_sources, op8_line_dedup, op9_simhash,
+    op10_language_id, op11_spelling_variants, op12_harmonic_pack, op13_align_tokenizers)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_mix_sources": OP7_SQL, "op8_line_dedup": OP8_SQL}

@@ -58,5 +58,5 @@ def test_query(spark, name):
     assert compare(spark, connect(SF), SF, queries()[name], oracle_sql().get(name)) == ""
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in OWN[:-1]) == list(range(1, 11)) and "pipeline" in queries()
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in OWN[:-1]) == list(range(1, 14)) and "pipeline" in queries()
