@@ -2,15 +2,16 @@
 
 Words are counted per batch of documents first, so the shuffle carries distinct words, not occurrences. Near words are
 found in blocks: a word is a vector of letter counts, and one edit changes at most two counts by one, so near words have a
-squared distance of at most two. A block holds the words of one length and one split of it over three groups of letters.
-An edit moves between blocks of the same or an adjacent length, and there only to those one letter apart, so seven kinds
-of block pairs reach every near pair. Of each pair the matrix of inner products (NumPy) gives all squared distances;
-pairs at most two are kept and the edit itself is verified, also in whole arrays.
+squared distance of at most two. A block holds the words of one length and one split of it over six groups of letters.
+An edit moves between blocks of the same or an adjacent length, and there only to those one letter apart: a block meets
+itself, the blocks with one letter moved between groups, and those with a letter more. Of each the matrix of inner
+products (NumPy) gives all squared distances; pairs at most two are kept and the edit itself is verified, also in whole
+arrays.
 
-Blocks over ``tile`` words are cut in tiles, and every pair of tiles is work of its own: memory is bounded by the tile,
-and a block with most of the words is spread. Word lists of tiles are shuffled, pairs are not: a tile pair emits verified
-near pairs only. Forms and roots are joins over words; pointers are doubled, so the rounds grow with the logarithm of the
-longest chain.
+Blocks over ``tile`` words are cut in tiles. The words that a tile can meet stream past it in parts of that size: memory
+is bounded by the tile, and a block with most of the words is spread over many tiles. Words are shuffled to the tiles they
+can meet, pairs are not: a tile emits verified near pairs only. Forms and roots are joins over words; pointers are
+doubled, so the rounds grow with the logarithm of the longest chain.
 
 Defined cases: a null or empty text has no words; a null id is written as an empty string where the id enters; repeated
 rows count each; ties go to the larger n, then to the smaller word in code-point order; very long texts are searched
@@ -33,16 +34,17 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import as_text, raw_texts, stored
 from gridloom.session import ship_package
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = str.maketrans({c: c + 32 for c in range(ord("A"), ord("Z") + 1)})
-#: Letters that occur in words: a to z and U+00C0 to U+00FF.
-_PLACES = 26 + 64
-#: Three groups of about equal weight in European languages: (letters), (letters), all others.
-_GROUPS = ("aeiou", "rstln")
+#: Letters of a text whose A-Z are lower-cased.
+RUN_OF = "[a-zÀ-ÿ]{%d,}"
+#: Places of a vector: a to z, and six that share U+00C0 to U+00FF. Sharing only shortens distances.
+_HIGH_PLACES = 6
+_PLACES = 26 + _HIGH_PLACES
+#: Groups of letters that split the words of European languages evenly; all others are the sixth.
+_GROUPS = ("ae", "iou", "rs", "tn", "cdl")
 #: Distinct words that are held before they are handed on.
-WORDS_AT_ONCE = 200_000
-#: Letters of the pairs that are verified at once.
-LETTERS_AT_ONCE = 1 << 24
+WORDS_AT_ONCE = 300_000
+#: Letters of a tile, and of the pairs that are verified at once.
+LETTERS_AT_ONCE = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -58,18 +60,18 @@ class SpellingRules:
 
 # ---- counting --------------------------------------------------------------------------------------------------------
 
-def damaged(doc: int | None, run: str, every: int) -> str:
-    """The run, or the run without one letter where the crc32 of ``<doc>:<run>`` says so."""
-    if every:
-        h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
-        if h % every == 0:
-            at = h % len(run)
-            return run[:at] + run[at + 1:]
+def _damaged(run: str, start: int, every: int) -> str:
+    """The run, or the run without one letter where the crc32 (from ``start``, that of the id) says so."""
+    h = zlib.crc32(run.encode(), start)
+    if h % every == 0:
+        at = h % len(run)
+        return run[:at] + run[at + 1:]
     return run
 
 
 def _counts(rules: SpellingRules):
-    least = rules.least_letters
+    # A run that is too short stays so, damaged or not.
+    runs = re.compile(RUN_OF % rules.least_letters)
 
     def batch(held: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
@@ -78,8 +80,11 @@ def _counts(rules: SpellingRules):
         held: Counter = Counter()
         for part in parts:
             for doc, raw in zip(part.column(0).to_pylist(), raw_texts(part.column(1))):
-                for run, n in Counter(RUN.findall(as_text(raw).translate(_LOWER))).items():
-                    if len(run) >= least and len(word := damaged(doc, run, rules.damage_every)) >= least:
+                start = zlib.crc32(f"{'' if doc is None else doc}:".encode())
+                # Lower-casing bytes changes A-Z alone.
+                for run, n in Counter(runs.findall(as_text(raw.lower()))).items():
+                    word = _damaged(run, start, rules.damage_every) if rules.damage_every else run
+                    if len(word) >= rules.least_letters:
                         held[word] += n
                 if len(held) > WORDS_AT_ONCE:
                     yield batch(held)
@@ -100,63 +105,61 @@ def word_counts(docs: DataFrame, rules: SpellingRules = SpellingRules(), id_col:
 # ---- blocks ----------------------------------------------------------------------------------------------------------
 
 def _split() -> Column:
-    """Letters of the word in each of the three groups."""
+    """Letters of the word in each group."""
     length = F.length("word")
-    first, second = [length - F.length(F.translate("word", g, "")) for g in _GROUPS]
-    return F.array(first, second, length - first - second).cast("array<int>")
-
+    parts = [length - F.length(F.translate("word", g, "")) for g in _GROUPS]
+    rest = length
+    for part in parts:
+        rest = rest - part
+    return F.array(*parts, rest).cast("array<int>")
 
-#: From a block to a block with words one edit away, each unordered pair of blocks once: none, a letter more, a letter of
-#: another group instead.
-_STEPS = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, -1, 0), (1, 0, -1), (0, 1, -1)]
 
+def _steps() -> list[tuple[int, ...]]:
+    """From a block to those one edit away, each unordered pair of blocks once: a letter of another group, a letter more."""
+    places = range(len(_GROUPS) + 1)
+    moved = [tuple((i == a) - (i == b) for i in places) for a in places for b in places if a < b]
+    return moved + [tuple(int(i == a) for i in places) for a in places]
 
-def _moved(step: tuple[int, ...], sign: int) -> Column:
-    return F.array(*[F.element_at("block", i + 1) + F.lit(sign * d) for i, d in enumerate(step)])
 
+#: What a word is to a tile: one of its own, one of the same length that it meets, one that is a letter longer.
+_OWN, _SAME, _LONGER = 0, 1, 2
 
-def tile_pairs(words: DataFrame, tile: int) -> DataFrame:
-    """(word) stored -> (pair, side, word): the words of each pair of tiles that one edit can connect.
 
-    pair: a key of the pair of tiles; side 0: both tiles or the first one, side 1: the second.
-    """
+def tiles(words: DataFrame, tile: int) -> DataFrame:
+    """(word) stored -> (tile, kind, word): the words of each tile, and those it meets."""
     blocked = words.select("word", _split().alias("block"))
-    sizes = blocked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("tiles"))
-    sizes = stored(sizes, "spelling-blocks")
-    # Which pairs of blocks exist, and so in how many pairs of tiles each block takes part.
-    partners = []
-    for number, step in enumerate(_STEPS):
-        for side, sign in ((0, 1), (1, -1)) if any(step) else ((0, 0),):
-            partners.append(F.struct(F.lit(number).alias("step"), F.lit(side).alias("side"), _moved(step, sign).alias("other")))
-    wanted = sizes.select("block", "tiles", F.explode(F.array(*partners)).alias("p")).select("block", "tiles", "p.*")
-    found = wanted.join(sizes.select(F.col("block").alias("_block"), F.col("tiles").alias("other_tiles")), F.col("other") == F.col("_block"))
-    places = found.groupBy("block", "tiles").agg(F.collect_list(F.struct("step", "side", "other", "other_tiles")).alias("places"))  # 13 at most
-    places = stored(places, "spelling-places")
+    size = F.greatest(F.count(F.lit(1)) / F.lit(tile), F.sum(F.length("word")) / F.lit(LETTERS_AT_ONCE))
+    sizes = stored(blocked.groupBy("block").agg(F.ceil(size).cast("int").alias("tiles")), "spelling-blocks")
+    # The blocks that meet a block, one row of at most 22 entries per block.
+    before = [F.struct(F.lit(_LONGER if sum(step) else _SAME).alias("kind"), F.array(*[F.element_at("block", i + 1) - F.lit(d) for i, d in enumerate(step)]).alias("base"))
+              for step in _steps()]
+    wanted = sizes.select("block", "tiles", F.explode(F.array(F.struct(F.lit(_OWN).alias("kind"), F.col("block").alias("base")), *before)).alias("p"))
+    bases = sizes.select(F.col("block").alias("_base"), F.col("tiles").alias("base_tiles"))
+    found = wanted.select("block", "tiles", "p.*").join(bases, F.col("base") == F.col("_base"))
+    places = stored(found.groupBy("block", "tiles").agg(F.collect_list(F.struct("kind", "base", "base_tiles")).alias("places")), "spelling-places")
     dealt = blocked.join(places, "block").withColumn("own", F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int"))
-    placed = dealt.select("word", "block", "own", F.explode("places").alias("p")).select(
-        "word", "block", "own", "p.*", F.explode(F.sequence(F.lit(0), F.col("p.other_tiles") - 1)).alias("with"))
-    same = F.col("step") == 0
-    first = F.when(same, F.least("own", "with")).when(F.col("side") == 0, F.col("own")).otherwise(F.col("with"))
-    second = F.when(same, F.greatest("own", "with")).when(F.col("side") == 0, F.col("with")).otherwise(F.col("own"))
-    side = F.when(same, F.when(F.col("own") <= F.col("with"), 0).otherwise(1)).otherwise(F.col("side"))
-    base = F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other"))
-    pair = F.concat_ws(",", F.col("step").cast("string"), F.concat_ws(",", base.cast("array<string>")), first.cast("string"), second.cast("string"))
-    return placed.select(pair.alias("pair"), side.alias("side"), "word")
-
-
-def _codes(words: list[str]) -> np.ndarray:
-    """Code points of words of one length, a row each."""
-    return np.array(words, dtype=f"<U{len(words[0])}").view("<u4").reshape(len(words), -1)
-
-
-def _letter_counts(words: list[str]) -> np.ndarray:
-    """The vectors of words of one length. Products of counts stay exact: below 2^24 in single precision."""
-    out, step = [], max(1, LETTERS_AT_ONCE // len(words[0]))
-    for at in range(0, len(words), step):
-        codes = _codes(words[at:at + step]).astype(np.int64)
-        place = np.where(codes < 0xC0, codes - ord("a"), codes - 0xC0 + 26) + np.arange(len(codes))[:, None] * _PLACES
-        out.append(np.bincount(place.ravel(), minlength=len(codes) * _PLACES).reshape(-1, _PLACES))
-    return np.concatenate(out).astype(np.float32 if len(words[0]) < 2048 else np.float64)
+    # Of its own block a word meets the tiles up to its own.
+    last = F.when(F.col("p.kind") == _OWN, F.col("own")).otherwise(F.col("p.base_tiles") - 1)
+    placed = dealt.select("word", "own", F.explode("places").alias("p")).select("word", "own", "p.kind", "p.base", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    kind = F.when((F.col("kind") == _OWN) & (F.col("at") < F.col("own")), _SAME).otherwise(F.col("kind"))
+    return placed.select(F.concat_ws(",", F.concat_ws(",", F.col("base").cast("array<string>")), F.col("at").cast("string")).alias("tile"), kind.alias("kind"), "word")
+
+
+class Words:
+    """Words of one length: code points, and vectors of letter counts with what turns a product into a distance."""
+
+    def __init__(self, words: list[str]):
+        self.words, width = words, len(words[0])
+        self.codes = np.array(words, dtype=f"<U{width}").view("<u4").reshape(len(words), width)
+        # Products of counts stay exact: below 2^24 in single precision.
+        self.counts = np.zeros((len(words), _PLACES), dtype=np.float32 if width < 1024 else np.float64)
+        step = max(1, LETTERS_AT_ONCE // width)
+        for at in range(0, len(words), step):
+            codes = self.codes[at:at + step].astype(np.int64)
+            place = np.where(codes < 0xC0, codes - ord("a"), 26 + codes % _HIGH_PLACES) + np.arange(len(codes))[:, None] * _PLACES
+            self.counts[at:at + step] = np.bincount(place.ravel(), minlength=len(codes) * _PLACES).reshape(-1, _PLACES)
+        squares, ones = (self.counts ** 2).sum(axis=1, keepdims=True), np.ones((len(words), 1), self.counts.dtype)
+        self.left, self.right = np.hstack([self.counts, squares, ones]), np.hstack([-2 * self.counts, ones, squares])
 
 
 def _one_edit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -168,64 +171,61 @@ def _one_edit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return lead + trail >= x.shape[1]
 
 
-def near_in(left: list[str], right: list[str] | None) -> Iterator[tuple[list[str], list[str]]]:
-    """Near pairs inside ``left``, or between it and ``right``. Words of one list have one length."""
-    own = right is None
-    right = left if own else right
-    if len(left[0]) > len(right[0]):
-        left, right = right, left
-    u = _letter_counts(left)
-    v = u if own else _letter_counts(right)
-    squares = (v * v).sum(axis=1)
-    for at in range(0, len(left), 512):
-        part = u[at:at + 512]
-        distance = (part * part).sum(axis=1)[:, None] + squares - 2 * (part @ v.T)
-        i, j = np.nonzero(distance <= 2)
+def near_in(left: Words, right: Words) -> Iterator[tuple[str, str]]:
+    """Near pairs between two lists, the right one as long or one letter longer; of a list with itself each pair once."""
+    step = max(1, LETTERS_AT_ONCE // left.codes.shape[1])
+    rows = max(1, (1 << 21) // len(right.words))
+    for at in range(0, len(left.words), rows):
+        # Columns hold |u|^2 and |v|^2 too, so the product is the squared distance.
+        i, j = np.nonzero(left.left[at:at + rows] @ right.right.T <= 2)
         i += at
-        if own:
+        if left is right:
             i, j = i[i < j], j[i < j]
-        step = max(1, LETTERS_AT_ONCE // len(right[0]))
         for s in range(0, len(i), step):
-            a, b = [left[k] for k in i[s:s + step]], [right[k] for k in j[s:s + step]]
-            near = np.flatnonzero(_one_edit(_codes(a), _codes(b)))
-            yield [a[k] for k in near], [b[k] for k in near]
-
-
-def _near(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pair, side, word) sorted by pair -> (a, b), near words."""
-    held: dict[int, list[str]] = {0: [], 1: []}
-    out: tuple[list[str], list[str]] = ([], [])
-    current = None
-
-    def flush() -> None:
-        if held[0] and (held[1] or own):
-            for a, b in near_in(held[0], None if own else held[1]):
-                out[0].extend(a), out[1].extend(b)
-        held[0], held[1] = [], []
-
-    def batch() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string())], names=["a", "b"])
-        out[0].clear(), out[1].clear()
+            x, y = i[s:s + step], j[s:s + step]
+            near = _one_edit(left.codes[x], right.codes[y])
+            yield from zip([left.words[k] for k in x[near]], [right.words[k] for k in y[near]])
+
+
+def _near(tile: int):
+    def batch(found: list[tuple[str, str]]) -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.string()) for i in (0, 1)], names=["a", "b"])
+        found.clear()
         return made
 
-    own = False
-    for part in parts:
-        for pair, side, word in zip(*[part.column(i).to_pylist() for i in range(3)]):
-            if pair != current:
-                flush()
-                current, names = pair, pair.split(",")
-                own = names[0] == "0" and names[-1] == names[-2]  # a tile with itself
-                if len(out[0]) > 10_000:
-                    yield batch()
-            held[side].append(word)
-    flush()
-    yield batch()
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (tile, kind, word) sorted by tile and kind -> (a, b), near words."""
+        current, kind, own, waiting, found = None, None, None, [], []
+
+        def meet() -> None:  # what waits, with the tile or as the tile
+            nonlocal own
+            if kind == _OWN:
+                own = Words(waiting) if waiting else None
+                if own is not None and len(waiting) > 1:
+                    found.extend(near_in(own, own))
+            elif waiting and own is not None:
+                found.extend(near_in(own, Words(waiting)))
+
+        for part in parts:
+            for name, what, word in zip(*[part.column(i).to_pylist() for i in range(3)]):
+                if name != current or what != kind or (what != _OWN and (len(waiting) >= tile or len(waiting) * len(word) > LETTERS_AT_ONCE)):
+                    meet()
+                    if name != current:
+                        own = None
+                    current, kind, waiting = name, what, []
+                    if len(found) > 20_000:
+                        yield batch(found)
+                waiting.append(word)
+        meet()
+        yield batch(found)
+
+    return batches
 
 
 def near_words(words: DataFrame, tile: int = SpellingRules.tile) -> DataFrame:
     """(word) distinct, stored -> (a, b), every pair that one edit connects, once."""
-    dealt = tile_pairs(words, tile).repartition("pair").sortWithinPartitions("pair")
-    return dealt.mapInArrow(_near, "a string, b string")
+    dealt = tiles(words, tile).repartition("tile").sortWithinPartitions("tile", "kind")
+    return dealt.mapInArrow(_near(tile), "a string, b string")
 
 
 # ---- forms and roots -------------------------------------------------------------------------------------------------

@@ -120,27 +120,29 @@ def test_spelling_query(spark):
     assert got == plain_variants(pairs_of(spark.read.parquet(f"{SF}/documents.parquet")))
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=100, deadline=None)
 @given(st.lists(st.text("abé÷", min_size=4, max_size=4), min_size=1, max_size=30, unique=True), st.lists(st.text("abé÷", min_size=5, max_size=5), min_size=1, max_size=30, unique=True))
 def test_near_in(four, five):
-    found = lambda *lists: {(x, y) for a, b in spelling.near_in(*lists) for x, y in zip(a, b)}
-    assert found(five, four) == {(a, b) for a in four for b in five if plain_near(a, b)}
-    assert found(four, None) == {(a, b) for i, a in enumerate(four) for b in four[i + 1:] if plain_near(a, b)}
+    short, long = spelling.Words(four), spelling.Words(five)
+    assert set(spelling.near_in(short, long)) == {(b, a) for a in five for b in four if plain_near(a, b)}
+    assert sorted(spelling.near_in(short, short)) == sorted((a, b) for i, a in enumerate(four) for b in four[i + 1:] if plain_near(a, b))
 
 
 # ---- harmonic packing ------------------------------------------------------------------------------------------------
 
+WORD_LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def word_ids(text):
-    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids
+    return WORD_LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def check_harmonic(df, rows):
     made = df.toPandas()
-    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want, whole = Counter(), Counter()
     ids_by_doc = defaultdict(list)
     for doc, text in rows:
-        ids = np.array(library.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        ids = np.array(word_ids(text or "") + [1], "<u4")
         whole[doc, len(ids)] += 1
         ids_by_doc[doc, len(ids)].append(ids)
     got = Counter()
@@ -187,13 +189,16 @@ def test_lengths():
 
 def test_stretches():
     rng = random.Random(5)
-    odd = ["don't", "é", "́x", "Σίσυφος", "<|endoftext|>", "日本語", " ", "12", "--", "İ", "\x0b", "a" * 50]
+    odd = ["don't", "We'Ll", "''s", "<|endoftext|>x", "a1b22", "--'ve", "\x1c", "\x7f", "é", "́x", "Σίσυφος", "<|endoftext|>", "日本語", " ", "12", "--", "İ", "\x0b", "\x0c", "\u2003", "\u3000", "ΑΣ", "Σ", "a" * 90, "ﬁ", "한국", "ก็", "🙂"]
     for _ in range(40):
         text = "".join(rng.choice(odd) + rng.choice([" ", "  ", "\n", "\t", "", " ́"]) for _ in range(60))
-        want = [np.array(word_ids(t), "<u4") for t in (text, "", "ab cd", text)]
-        for size in (7, 40, 1 << 20):
-            got = list(harmonic.ids_of([text, "", "ab cd", text], size=size))
-            assert len(got) == 4 and all(np.array_equal(a, b) for a, b in zip(got, want))
+        again = [text, "", "ab cd", text.upper(), text]
+        for few in (3, 10_000):
+            got = list(harmonic.WordIds(remembered=few).raws([t.encode() for t in again]))
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == [word_ids(t) for t in again]
+        for size in (7, 40):
+            parts = list(harmonic.stretches(text.encode(), size))
+            assert b"".join(parts) == text.encode() and [i for p in parts for i in word_ids(p.decode())] == word_ids(text)
 
 
 # ---- alignment -------------------------------------------------------------------------------------------------------
@@ -214,12 +219,14 @@ def plain_alignment(rows):
             docs.append((doc, [], [], []))
             continue
         a_ends, b_ends = np.cumsum([len(x) for x in a_bytes]).tolist(), np.cumsum([len(x) for x in b_bytes]).tolist()
-        cuts = sorted(set(a_ends) & set(b_ends))
-        groups, low = [], 0
-        for c in cuts:
-            groups.append(([i for i, e in zip(a, a_ends) if low < e <= c], [i for i, e in zip(b, b_ends) if low < e <= c])
-                          if len(text) < 3000 else (a[slice(*np.searchsorted(a_ends, [low, c], "right"))], b[slice(*np.searchsorted(b_ends, [low, c], "right"))]))
-            low = c
+        common, groups = sorted(set(a_ends) & set(b_ends)), []
+        place = {end: i for i, end in enumerate(common)}
+        groups = [([], []) for _ in common]
+        for side, ids, ends in ((0, a, a_ends), (1, b, b_ends)):
+            at = 0
+            for i, end in zip(ids, ends):
+                groups[at][side].append(i)
+                at += end in place
         docs.append((doc, a, b, groups))
         counts.update({(x, y) for g, h in groups for x in g for y in h})
     most = Counter()
@@ -269,20 +276,36 @@ def test_alignment_query(spark):
     assert got == plain_alignment(pairs_of(spark.read.parquet(f"{SF}/documents.parquet")))
 
 
+LENGTHS = st.lists(st.integers(1, 9), max_size=60)
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 9), max_size=60), st.lists(st.integers(1, 9), max_size=60))
-def test_cuts_and_links(left, right):
-    short = sum(left) - sum(right)  # both sides end together
-    left, right = left + [max(0, -short) + 1], right + [max(0, short) + 1]
-    a, b = np.cumsum(left).tolist(), np.cumsum(right).tolist()
-    cuts = alignment.shared_cuts(a, b)
-    common = sorted(set(a) & set(b))
-    assert cuts == [(a.index(c) + 1, b.index(c) + 1) for c in common]
-    ids_a, ids_b, ends = np.array(left), np.array(right), np.array(cuts)
+@given(st.lists(st.tuples(LENGTHS, LENGTHS), min_size=1, max_size=4))
+def test_cuts_and_links(docs):
+    left, right, a_docs, b_docs = [], [], [], []
+    for one, other in docs:  # both sides of a document end together
+        short = sum(one) - sum(other)
+        left += one + [max(0, -short) + 1]
+        right += other + [max(0, short) + 1]
+        a_docs.append(len(left)), b_docs.append(len(right))
+    a, b = np.cumsum(left), np.cumsum(right)
+    a_cuts, b_cuts = alignment.shared_cuts(a, b, np.array(a_docs), np.array(b_docs))
+    common = sorted(set(a.tolist()) & set(b.tolist()))
+    assert a[a_cuts - 1].tolist() == b[b_cuts - 1].tolist() == common
+    ids_a, ids_b = np.array(left) << 24, np.array(right)
     want, i, j = Counter(), 0, 0
-    for i1, j1 in cuts:
-        want.update((x << 32) | y for x in left[i:i1] for y in right[j:j1])
+    for i1, j1 in zip(a_cuts, b_cuts):
+        want.update(int(x | y) for x in ids_a[i:i1] for y in ids_b[j:j1])
         i, j = i1, j1
     for at_once in (1, 5, 1 << 20):
-        pairs, times = alignment.linked_pairs(ids_a, ids_b, ends[:, 0], ends[:, 1], at_once)
+        pairs, times = alignment.linked_pairs(ids_a, ids_b, a_cuts, b_cuts, at_once)
         assert dict(zip(pairs.tolist(), times.tolist())) == want
+
+
+def test_long_gaps():
+    rng = np.random.default_rng(2)
+    a = np.cumsum(rng.integers(1, 3, 20_000)) * 2
+    b = np.unique(np.concatenate([a[rng.integers(0, 20_000, 20)], a[:50], a[9_000:] + 1, a[-1:]]))
+    b = b[b <= a[-1]]
+    a_cuts, b_cuts = alignment.shared_cuts(a, b, np.array([len(a)]), np.array([len(b)]))
+    assert a[a_cuts - 1].tolist() == b[b_cuts - 1].tolist() == sorted(set(a.tolist()) & set(b.tolist()))
