@@ -23,10 +23,10 @@ import base64
 import hashlib
 import json
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +37,10 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import as_text, raw_texts, stored, vocabulary_path
 from gridloom.session import ship_package
 
-#: Links of one document that are expanded at once.
-LINKS_AT_ONCE = 1 << 20
-ROWS_AT_ONCE = 256
+#: Documents and tokens of A that are aligned together, and links that are expanded at once.
+DOCS_AT_ONCE, TOKENS_AT_ONCE, LINKS_AT_ONCE = 2_000, 1 << 18, 1 << 20
+#: An id pair is one number, the id of A above that of B; inside a task the document stands above both.
+ID_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -96,43 +97,65 @@ def _side_b(vocabulary: str):
     return library.encode, table
 
 
-# ---- one document ----------------------------------------------------------------------------------------------------
+# ---- documents, many at a time ---------------------------------------------------------------------------------------
+
+def _common(a: np.ndarray, b: np.ndarray, i: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether ends a[i] are ends of b before place b1, and where (bisected)."""
+    j = np.searchsorted(b, a[i])
+    return (j < b1) & (b[np.minimum(j, len(b) - 1)] == a[i]), j
 
-def _near_middle(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> tuple[int, int] | None:
-    """Places of the common end of a[a0:a1] and b[b0:b1] that is nearest to the middle of the first."""
-    middle = (a0 + a1) // 2
-    for step in range(a1 - a0 + 1):
-        i = middle - (step + 1) // 2 if step % 2 else middle + step // 2
-        if a0 <= i < a1:
-            j = bisect_left(b, a[i], b0, b1)
-            if j < b1 and b[j] == a[i]:
-                return i, j
-    return None
 
+def _outwards(a: np.ndarray, b: np.ndarray, a0: int, a1: int, b1: int, middle: int) -> tuple[int, int]:
+    """As below for one interval that has no common end close to its middle: windows that double."""
+    step, seen_lo, seen_hi = 64, middle, middle
+    while seen_lo > a0 or seen_hi < a1:
+        lo, hi = max(a0, middle - step), min(a1, middle + step)
+        places = np.concatenate([np.arange(lo, seen_lo), np.arange(seen_hi, hi)])
+        hit, j = _common(a, b, places, np.full(len(places), b1))
+        if hit.any():
+            places, j = places[hit], j[hit]
+            nearest = np.argmin(np.abs(places - middle))
+            return int(places[nearest]), int(j[nearest])
+        seen_lo, seen_hi, step = lo, hi, step * 2
+    return -1, -1
 
-def shared_cuts(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """a, b: ascending ends of tokens, with the last in common -> (tokens of a, tokens of b) up to every common end.
 
-    The left half of an interval is next, the right half waits; it starts where the left half will have ended.
+def _near_middle(a: np.ndarray, b: np.ndarray, a0: np.ndarray, a1: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each interval the places in a and b of a common end of a[a0:a1] near the middle; -1 if there is none."""
+    middle = (a0 + a1) // 2
+    found, there = np.full(len(a0), -1), np.full(len(a0), -1)
+    waiting, step = np.flatnonzero(a0 < a1), 0
+    while len(waiting):
+        if step == 16:
+            for w in waiting:
+                found[w], there[w] = _outwards(a, b, int(a0[w]), int(a1[w]), int(b1[w]), int(middle[w]))
+            break
+        for i in (middle[waiting] + step, middle[waiting] - step - 1):
+            inside = (i >= a0[waiting]) & (i < a1[waiting]) & (found[waiting] < 0)
+            at, own = i[inside], waiting[inside]
+            hit, j = _common(a, b, at, b1[own])
+            found[own[hit]], there[own[hit]] = at[hit], j[hit]
+        step += 1
+        left = waiting[found[waiting] < 0]
+        waiting = left[(middle[left] + step < a1[left]) | (middle[left] - step - 1 >= a0[left])]
+    return found, there
+
+
+def shared_cuts(a: np.ndarray, b: np.ndarray, a_docs: np.ndarray, b_docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a, b: ends of tokens, ascending over all documents; a_docs, b_docs: tokens up to the end of each document.
+
+    Returns the tokens of a and of b up to every common end, in order. All intervals of one depth are divided together.
     """
-    out: list[tuple[int, int]] = []
-    if not a:
-        return out
-    a0, b0, a1, b1, waiting = 0, 0, len(a), len(b), []
-    while True:
-        if a1 - a0 > 1 and b1 - b0 > 1:
-            i = (a0 + a1 - 1) // 2
-            j = bisect_left(b, a[i], b0, b1 - 1)
-            found = (i, j) if j < b1 - 1 and b[j] == a[i] else _near_middle(a, b, a0, a1 - 1, b0, b1 - 1)
-            if found:
-                waiting.append((a1, b1))
-                a1, b1 = found[0] + 1, found[1] + 1
-                continue
-        out.append((a1, b1))
-        if not waiting:
-            return out
-        a0, b0 = a1, b1
-        a1, b1 = waiting.pop()
+    a0, b0, a1, b1 = np.append(0, a_docs[:-1]), np.append(0, b_docs[:-1]), a_docs, b_docs
+    a_cuts, b_cuts = [], []
+    while len(a0):
+        # The last end of an interval is common by definition, and no cut inside it.
+        i, j = _near_middle(a, b, a0, np.where(b1 - b0 > 1, a1 - 1, a0), b1 - 1)
+        leaf, cut = i < 0, i >= 0
+        a_cuts.append(a1[leaf]), b_cuts.append(b1[leaf])
+        i, j = i[cut] + 1, j[cut] + 1
+        a0, b0, a1, b1 = np.append(a0[cut], i), np.append(b0[cut], j), np.append(i, a1[cut]), np.append(j, b1[cut])
+    return np.sort(np.concatenate(a_cuts)) if a_cuts else a0, np.sort(np.concatenate(b_cuts)) if b_cuts else b0
 
 
 def _merged(pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +166,7 @@ def _merged(pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def linked_pairs(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, at_once: int = LINKS_AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct id pairs (a << 32 | b) of all groups, ascending, and how often each is linked."""
-    a, b = a.astype(np.int64), b.astype(np.int64)
+    """Distinct ``a | b`` of all groups, ascending, and how often each is linked. a: keys that leave the bits of b free."""
     a_starts, b_starts = np.append(0, a_ends[:-1]), np.append(0, b_ends[:-1])
     m, k = a_ends - a_starts, b_ends - b_starts
     links = m * k
@@ -156,39 +178,50 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.nd
         own = links[g]
         nth = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
         wide = np.repeat(k[g], own)
-        new = (a[np.repeat(a_starts[g], own) + nth // wide] << 32) | b[np.repeat(b_starts[g], own) + nth % wide]
+        new = a[np.repeat(a_starts[g], own) + nth // wide] | b[np.repeat(b_starts[g], own) + nth % wide]
         pairs, times = _merged(np.append(pairs, new), np.append(times, np.ones(len(new), np.int64)))
     for g in np.flatnonzero(links > at_once):  # equal ids of a large group are taken together
         left, n_left = np.unique(a[a_starts[g]:a_ends[g]], return_counts=True)
         right, n_right = np.unique(b[b_starts[g]:b_ends[g]], return_counts=True)
         step = max(1, at_once // len(right))
         for at in range(0, len(left), step):
-            new = ((left[at:at + step, None] << 32) | right).ravel()
+            new = (left[at:at + step, None] | right).ravel()
             pairs, times = _merged(np.append(pairs, new), np.append(times, (n_left[at:at + step, None] * n_right).ravel()))
     return pairs, times
 
 
-def groups_text(a: list[int], b: list[int], cuts: list[tuple[int, int]]) -> str:
-    a, b, out, i, j = list(map(str, a)), list(map(str, b)), [], 0, 0
-    for i1, j1 in cuts:
-        out.append(f"{a[i]}|{b[j]}" if i1 - i == 1 == j1 - j else f"{','.join(a[i:i1])}|{','.join(b[j:j1])}")
-        i, j = i1, j1
-    return ";".join(out)
+@lru_cache(maxsize=4)
+def _printed(size: int, after: str, last: str) -> np.ndarray:
+    """Ids as text with what follows them: ``after`` inside a group, ``last`` (from ``size`` on) at its end."""
+    return np.array([f"{i}{after}" for i in range(size)] + [f"{i}{last}" for i in range(size)], dtype=object)
 
 
-def align(text: str, rules: AlignRules = AlignRules()) -> tuple[list[int], list[int], list[tuple[int, int]]] | None:
-    """Ids of A, ids of B and the cuts of one text; None if a side does not give the text back."""
-    if not text:
-        return None
-    encode_a, table_a = _side_a(rules.vocabulary_a, rules.ranks_a)
-    encode_b, table_b = _side_b(rules.vocabulary_b)
-    whole = (" " + text).encode("utf-8", "surrogatepass")
-    a, b = encode_a(" " + text), encode_b(text)
-    bytes_a, bytes_b = [table_a[i] for i in a], [table_b[i] for i in b]
-    if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
+class _Side:
+    """One tokenizer: its ids of a text, the bytes of every id, their lengths."""
+
+    def __init__(self, encode, table: list[bytes]):
+        self.encode, self.table = encode, table
+        self.lengths = np.array([len(t) for t in table], np.int64)
+        if len(table) >= 1 << ID_BITS:
+            raise ValueError("ids need more bits than a pair has for them")
+
+    def gives_back(self, ids: list[int], whole: bytes) -> bool:
+        return b"".join(map(self.table.__getitem__, ids)) == whole
+
+
+@lru_cache(maxsize=2)
+def _sides(rules: AlignRules) -> tuple[_Side, _Side]:
+    return _Side(*_side_a(rules.vocabulary_a, rules.ranks_a)), _Side(*_side_b(rules.vocabulary_b))
+
+
+def _encoded(raw: bytes, rules: AlignRules) -> tuple[list[int], list[int]] | None:
+    """Ids of A and of B of one text; None if it has none, or a side does not give it back."""
+    if not raw:
         return None
-    ends = [np.cumsum(np.fromiter(map(len, side), np.int64, len(side))).tolist() for side in (bytes_a, bytes_b)]
-    return a, b, shared_cuts(*ends)
+    left, right = _sides(rules)
+    text, whole = as_text(raw), b" " + raw
+    a, b = left.encode(" " + text), right.encode(text)
+    return (a, b) if left.gives_back(a, whole) and right.gives_back(b, whole) else None
 
 
 # ---- on the cluster --------------------------------------------------------------------------------------------------
@@ -200,37 +233,63 @@ _NAMES = [c.split()[0] for c in DIGEST.split(", ")]
 PAIRS_A_ROW = 1 << 16
 
 
-def _rows_of(number: int, doc: int | None, text: str, rules: AlignRules) -> Iterator[tuple]:
-    found = align(text, rules)
-    if found is None:
-        yield number, doc, 0, 0, 0, 0, "", [], []
+def _aligned(docs: list[tuple[int, int | None]], ids: list[tuple[list[int], list[int]] | None], rules: AlignRules) -> Iterator[tuple]:
+    """Rows of ``DIGEST`` of some documents: (number, doc_id) and ids of each."""
+    held = [x for x in ids if x is not None]
+    if not held:
+        yield from ((number, doc, 0, 0, 0, 0, "", [], []) for number, doc in docs)
         return
-    a, b, cuts = found
-    ends = np.array(cuts, np.int64)
-    pairs, times = linked_pairs(np.array(a), np.array(b), ends[:, 0], ends[:, 1])
-    digest = hashlib.sha256(groups_text(a, b, cuts).encode()).hexdigest()
-    yield number, doc, len(a), len(b), len(cuts), int(times.sum()), digest, pairs[:PAIRS_A_ROW], times[:PAIRS_A_ROW]
-    for at in range(PAIRS_A_ROW, len(pairs), PAIRS_A_ROW):
-        yield number, doc, None, None, None, None, None, pairs[at:at + PAIRS_A_ROW], times[at:at + PAIRS_A_ROW]
+    left, right = _sides(rules)
+    a = np.fromiter(chain.from_iterable(x for x, _ in held), np.int64)
+    b = np.fromiter(chain.from_iterable(x for _, x in held), np.int64)
+    a_docs, b_docs = [np.cumsum([len(x[side]) for x in held], dtype=np.int64) for side in (0, 1)]
+    a_cuts, b_cuts = shared_cuts(np.cumsum(left.lengths[a]), np.cumsum(right.lengths[b]), a_docs, b_docs)
+    group_docs = np.searchsorted(a_cuts, a_docs, "right")  # groups up to the end of each document
+    m, k = np.diff(a_cuts, prepend=0), np.diff(b_cuts, prepend=0)
+    link_docs = np.append(0, np.cumsum(m * k))[group_docs]
+    owner = np.repeat(np.arange(len(held)), np.diff(a_docs, prepend=0))
+    pairs, times = linked_pairs((owner << (2 * ID_BITS)) | (a << ID_BITS), b, a_cuts, b_cuts)
+    pair_docs = np.searchsorted(pairs >> (2 * ID_BITS), np.arange(len(held)), "right")
+    pairs &= (1 << (2 * ID_BITS)) - 1
+    # Ids as text in place: the ids of A of a group, then those of B.
+    line = np.empty(len(a) + len(b), dtype=object)
+    a_last, b_last = [np.bincount(cuts - 1, minlength=n) for cuts, n in ((a_cuts, len(a)), (b_cuts, len(b)))]
+    a_group, b_group = np.repeat(np.arange(len(m)), m), np.repeat(np.arange(len(k)), k)
+    line[np.arange(len(a)) + (b_cuts - k)[a_group]] = _printed(len(left.table), ",", "|")[a + len(left.table) * a_last]
+    line[np.arange(len(b)) + a_cuts[b_group]] = _printed(len(right.table), ",", ";")[b + len(right.table) * b_last]
+    at, n = 0, [np.diff(x, prepend=0) for x in (a_docs, b_docs, group_docs, link_docs)]
+    for (number, doc), own in zip(docs, ids):
+        if own is None:
+            yield number, doc, 0, 0, 0, 0, "", [], []
+            continue
+        whole = "".join(line[a_docs[at] + b_docs[at] - n[0][at] - n[1][at]:a_docs[at] + b_docs[at]].tolist())[:-1]
+        first, end = pair_docs[at - 1] if at else 0, pair_docs[at]
+        facts = (*[int(x[at]) for x in n], hashlib.sha256(whole.encode()).hexdigest())
+        for part in range(first, max(end, first + 1), PAIRS_A_ROW):
+            stop = min(end, part + PAIRS_A_ROW)
+            yield number, doc, *facts, pairs[part:stop], times[part:stop]
+            facts = (None,) * 5
+        at += 1
 
 
 def _digests(rules: AlignRules):
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
+    def batch(docs: list, ids: list) -> pa.RecordBatch:
+        columns = zip(*_aligned(docs, ids, rules))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows, held = TaskContext.get().partitionId() << 33, [], 0
+        number, docs, ids, held = TaskContext.get().partitionId() << 33, [], [], 0
         for part in parts:
             for doc, raw in zip(part.column(0).to_pylist(), raw_texts(part.column(1))):
-                for row in _rows_of(number, doc, as_text(raw), rules):
-                    rows.append(row)
-                    held += len(row[7])
-                    if len(rows) == ROWS_AT_ONCE or held > 4 * PAIRS_A_ROW:
-                        yield batch(rows)
-                        rows, held = [], 0
+                docs.append((number, doc))
+                ids.append(_encoded(raw, rules))
+                held += len(ids[-1][0]) if ids[-1] else 0
                 number += 1
-        if rows:
-            yield batch(rows)
+                if len(docs) == DOCS_AT_ONCE or held > TOKENS_AT_ONCE:
+                    yield batch(docs, ids)
+                    docs, ids, held = [], [], 0
+        if docs:
+            yield batch(docs, ids)
 
     return batches
 
@@ -253,7 +312,7 @@ def align_tokenizers(docs: DataFrame, rules: AlignRules = AlignRules(), id_col:
     made = stored(narrow.mapInArrow(_digests(rules), DIGEST), "align-digests")
     counted = made.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
     counted = stored(counted, "align-counts")
-    side_a = F.shiftright("pair", 32)
+    side_a = F.shiftright("pair", ID_BITS)
     # One row per id of A's vocabulary.
     highest = counted.groupBy(side_a.alias("_a")).agg(F.max("n").alias("_most"))
     counts = counted.join(F.broadcast(highest), side_a == F.col("_a")).select(

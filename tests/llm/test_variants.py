@@ -189,7 +189,7 @@ def test_lengths():
 
 def test_stretches():
     rng = random.Random(5)
-    odd = ["don't", "We'Ll", "''s", "<|endoftext|>x", "a1b22", "--'ve", "\x1c", "\x7f", "é", "́x", "Σίσυφος", "<|endoftext|>", "日本語", " ", "12", "--", "İ", "\x0b", "\x0c", "\u2003", "\u3000", "ΑΣ", "Σ", "a" * 90, "ﬁ", "한국", "ก็", "🙂"]
+    odd = ["don't", "We'Ll", "''s", "<|endoftext|>x", "a1b22", "--'ve", "\x1c", "\x7f", "\x01", "x\x01y", "é", "́x", "Σίσυφος", "<|endoftext|>", "日本語", " ", "12", "--", "İ", "\x0b", "\x0c", "\u2003", "\u3000", "ΑΣ", "Σ", "a" * 90, "ﬁ", "한국", "ก็", "🙂"]
     for _ in range(40):
         text = "".join(rng.choice(odd) + rng.choice([" ", "  ", "\n", "\t", "", " ́"]) for _ in range(60))
         again = [text, "", "ab cd", text.upper(), text]
