@@ -92,17 +92,27 @@ with l as (
   select doc_id, generate_subscripts(lines, 1) as line_no, unnest(lines) as line from (
     select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents)),
 p as (
-  select doc_id, line_no, line,
-    regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') as t from l),
-c as (select *, len(t) - 3 as n, least(len(t) - 3, 16) as m from p where len(t) >= 4),
-f as (
-  select doc_id, line_no, t, n, m, g, t[cast(floor(g * n / m) as int) + 4 : cast(floor((g + 1) * n / m) as int) + 3] as field
-  from (select *, unnest(range(0, m)) as g from c)),
-fixed as (select t[1:3] as leading, n, g, field, min(doc_id) as since from f group by all),
-lim as (
-  select t, list_sort(list(since))[greatest(cast(ceil(0.75 * count(*)) as int), 1)] as since from (
-    select distinct f.t, f.g, x.since from f join fixed x on x.leading = f.t[1:3] and x.n = f.n and x.g = f.g and x.field = f.field) group by t),
-gone as (select c.doc_id, c.line_no from c join lim on c.t = lim.t where c.doc_id > lim.since)
+  select doc_id, line_no, line, case when strlen(line) > 2 * length(line)
+    then regexp_extract_all(regexp_replace(line, '[0-9]+', '<*>', 'g'), '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]|[^\x20\x09-\x0D\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]+')
+    else regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') end as t from l),
+c as (select doc_id, line_no, line, t, len(t) as k, least(len(t) - 3, 8) as m from p where len(t) > 0 and doc_id is not null),
+b as (select k, m, t, min(doc_id) as first from c where k > 3 group by all),
+parted as (
+  select *, list_transform(range(0, m), lambda g: t[cast(floor(g * (k - 3) / m) as int) + 4 : cast(floor((g + 1) * (k - 3) / m) as int) + 3]) as parts from b),
+masks as (
+  select 8 as m, x, y from range(1, 9) r(x), range(1, 9) s(y) where x < y
+  union all select q.m, x, x from range(4, 8) q(m), range(1, 8) r(x) where x <= q.m),
+forms as (
+  select k, t, first, t[1:3] as head, x, y, parts[1:x - 1] as p1, parts[x + 1:y - 1] as p2, parts[y + 1:] as p3 from parted join masks using (m)),
+templates as (select k, head, x, y, p1, p2, p3, min(first) as since from forms group by all),
+earlier as (
+  select f.k, f.t, min(e.since) as since from forms f join templates e
+  on e.k = f.k and e.head = f.head and e.x = f.x and e.y = f.y and e.p1 = f.p1 and e.p2 = f.p2 and e.p3 = f.p3 group by f.k, f.t),
+lim as (select b.t, least(b.first, coalesce(e.since, b.first)) as since from b left join earlier e on e.t = b.t),
+short as (select line, min(doc_id) as since from c where k <= 3 group by line),
+gone as (
+  select c.doc_id, c.line_no from c join lim on c.t = lim.t where c.k > 3 and c.doc_id > lim.since
+  union all select c.doc_id, c.line_no from c join short on c.line = short.line where c.k <= 3 and c.doc_id > short.since)
 select l.doc_id, count(*) as n_lines, count(g.line_no) as n_dropped,
   sha256(coalesce(array_to_string(list(l.line order by l.line_no) filter (where g.line_no is null), chr(10)), '')) as text_sha256
 from l left join gone g on g.doc_id = l.doc_id and g.line_no = l.line_no group by l.doc_id

@@ -7,11 +7,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 
 import corpus_pipeline
 from gridloom.llm import components, exact_dedup, line_dedup, simhash, suffix_dedup
-from gridloom.llm.similar_texts import SimilarRules, keep_one_similar, shingles
 from gridloom.llm.suffix_dedup import RepeatRules, remove_repeats
 
 
@@ -94,33 +94,38 @@ def test_suffix_arrays_hold_sorted_contexts():
 
 # ---- lines -----------------------------------------------------------------------------------------------------------
 
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}"
+
+
+def plain_line(line):
+    """Leaf and parts of a line; short lines have none."""
+    if len(line.encode()) > 2 * len(line):
+        tokens = regex.findall(rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+", re.sub("[0-9]+", "<*>", line))
+    else:
+        tokens = ["<*>" if re.search("[0-9]", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", line)]
+    if len(tokens) < 4:
+        return (line, []) if tokens else None
+    n = len(tokens) - 3
+    m = min(n, 8)
+    return (n, *tokens[:3]), [tuple(tokens[3 + g * n // m:3 + (g + 1) * n // m]) for g in range(m)]
+
+
 def plain_lines(rows):
-    """Texts without the lines whose fields were mostly fixed by earlier documents."""
-    def parse(line):
-        tokens = re.findall(r"[^\x20\x09-\x0D]+", line)
-        tokens = ["<*>" if re.search("[0-9]", t) else t for t in tokens]
-        if len(tokens) < 4:
-            return None
-        n = len(tokens) - 3
-        m = min(n, 16)
-        return (n, *tokens[:3]), [tuple(tokens[3 + g * n // m:3 + (g + 1) * n // m]) for g in range(m)]
-
-    since = {}
+    """Texts without the lines that share three quarters of their parts with one line of an earlier document."""
+    seen = defaultdict(list)
     for doc, text in rows:
-        for line in (text or "").split("\n"):
-            if doc is not None and (p := parse(line)):
-                for g, field in enumerate(p[1]):
-                    since[p[0], g, field] = min(since.get((p[0], g, field), doc), doc)
+        for line in set((text or "").split("\n")):
+            if doc is not None and (p := plain_line(line)):
+                seen[p[0]].append((doc, p[1]))
     out = []
     for doc, text in rows:
         lines = (text or "").split("\n")
         keep = []
         for line in lines:
-            p = parse(line)
-            if p and doc is not None:
-                known = sorted(since[p[0], g, f] for g, f in enumerate(p[1]))
-                if doc > known[max(1, math.ceil(0.75 * len(known))) - 1]:
-                    continue
+            p = plain_line(line)
+            if p and doc is not None and any(
+                    other < doc and sum(x == y for x, y in zip(p[1], parts)) >= 0.75 * len(parts) for other, parts in seen[p[0]]):
+                continue
             keep.append(line)
         out.append((doc, len(lines), len(lines) - len(keep), text if len(keep) == len(lines) else "\n".join(keep)))
     return out
@@ -137,8 +142,20 @@ def test_recurring_lines_keep_columns(nasty, empty):
     out = line_dedup.drop_recurring_lines(nasty)
     assert out.columns == nasty.columns and out.count() == nasty.count()
     assert line_dedup.drop_recurring_lines(empty).count() == 0
-    with pytest.raises(ValueError):
-        line_dedup.recurring_lines(nasty, min_tokens=2)
+
+
+def test_recurring_lines_by_one_template(spark):
+    rng = np.random.default_rng(9)
+    long = [f"the report of {a} {b} was sent by {c} to {d} on day {e} for the usual reason" for a, b, c, d, e in rng.choice(list("pqrs"), (60, 5))]
+    texts = ["it is a red house by the sea", "it is a big car by our road", "it is a new lamp near the road", "it is a big house near our sea",
+             "Read more\nit is a red house by the lake", "All rights reserved\nRead more", "2024 12\nAll rights reserved\n本站内容版权所有不得转载",
+             "2024 13\n本站内容版权所有不得转载", "本站文章版权所有不得转载\nRead  more", "a b c d\na b c e", "a b c d", "\n\n", *long]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = rows_of(line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), report=True), "doc_id", "n_lines", "n_dropped", "text")
+    assert Counter(got) == Counter(plain_lines(rows))
+    left = {d: t for d, _, _, t in got}
+    assert left[3] == texts[3] and left[4] == "Read more" and left[5] == "All rights reserved" and left[7] == "2024 13" and left[8] == "Read  more"
+    assert 10 < sum(left[i] == "" for i in range(12, 72)) < 60
 
 
 # ---- near duplicates -------------------------------------------------------------------------------------------------
@@ -208,31 +225,9 @@ def test_simhash_keeps_one(nasty, empty):
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicate_components(empty).count() == 0
 
 
-@pytest.mark.parametrize("limit", [2048, 4])
-def test_stage_removes_near_copies_beyond_three_bits(spark, empty, limit):
-    rng = np.random.default_rng(12)
-    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
-    texts = []
-    for _ in range(40):  # 120 words, copies with one to three words changed: Jaccard down to 0.77
-        own = [word() for _ in range(120)]
-        texts.append(" ".join(own))
-        for changed in (1, 2, 3):
-            copy = list(own)
-            for at in (10, 55, 100)[:changed]:
-                copy[at] = word()
-            texts.append(" ".join(copy))
-    sets = [set(shingles(t.encode()).tolist()) for t in texts]
-    lead = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                lead = [lead[j] if x == lead[i] else x for x in lead] if lead[i] > lead[j] else [lead[i] if x == lead[j] else x for x in lead]
-    prints = [plain_fingerprint(t) for t in texts]
-    assert len(set(plain_groups(prints))) > 1.5 * len(set(lead))
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert sorted(r.doc_id for r in keep_one_similar(df, SimilarRules(list_limit=limit)).collect()) == sorted(set(lead))
-    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, "").collect()) == sorted(set(lead))
-    assert keep_one_similar(empty).count() == 0
+def test_stage_keeps_one_of_each_group(nasty):
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](nasty.sparkSession, nasty, "")
+    assert Counter(rows_of(got, "doc_id")) == Counter(rows_of(simhash.keep_one(nasty), "doc_id")) and got.columns == nasty.columns
 
 
 def test_triples_reach_every_pair():
