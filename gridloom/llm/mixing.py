@@ -9,8 +9,8 @@ A source's target is then taken as whole repetitions of every document plus a se
 documents in order of a seeded hash, until their sizes come nearest to what is left. The order is cut in hash buckets
 whose sums are accumulated first, so no task sorts a whole source, however large, and reruns agree.
 
-Defined cases: a null text has size 0; a null source is a source of its own, in last place; documents of size 0 take
-nothing; ties of the hash are ordered by id, then by text hash, and equal rows are interchangeable; an empty table gives
+Defined cases: a null text has size 0; a null source is a source of its own, in last place; documents of size 0 are
+not taken; ties of the hash are ordered by id, then by text hash, and equal rows are interchangeable; an empty table gives
 an empty result; other columns are never read.
 """
 
@@ -90,7 +90,8 @@ def mix(docs: DataFrame, weights: Column | None = None, share: float = 1.0, max_
         "upto", F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     over = F.col("upto") - F.col("rest")
     end = end.withColumn("extra", F.when((over <= 0) | (over * 2 < F.col("size")), 1).otherwise(0)).drop("upto")
-    copies = (F.col("whole") + F.col("extra"))
+    # A document without words adds nothing to its source, however often: it is not taken.
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(F.lit(0).cast("long"))
     return sure.unionByName(end).select(
         "doc_id", "text_key", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
