@@ -1,7 +1,8 @@
 """Main text of web pages by maximum-scoring subsequence (operator 4).
 
 A page is a sequence of text runs and tags. Words score by where they stand (innermost block element, and the nearest
-enclosing navigation, footer, form, advert and the like), tags score negative by name. The weights are log odds counted on
+enclosing navigation, footer, form, advert and the like; a form, header or named wrapper that holds most of the page's words
+is none), tags score negative by name. The weights are log odds counted on
 labelled pages: those whose markup names the article (``article`` or ``main``) say which of their words are content; a
 weak prior stands in for what they do not show. One linear scan finds the contiguous run with the greatest sum, the
 content region. Its blocks are the text; runs inside that stand in a place of negative weight (an advert within the
@@ -47,6 +48,8 @@ NOT_ARTICLE = re.compile(
 _BESIDE = re.compile(r"(?:^|(?<=\s))(?:has|have|with|without|no|show|hide)[-_]\S*")
 #: Places that an article inside does not leave: elements, and whole words of a class or id.
 _HARD_PLACES = PLACES - frozenset("form header".split())
+#: The head of an article belongs to it.
+_OF_ARTICLE = re.compile(r"(?:^|(?<=[\s_-]))(?:article|post|entry|story|content|main)[-_]{1,2}(?:header|head|title)(?=$|[\s_-])")
 _HARD_NAMES = re.compile(r"(?:^|\s)(?:ads?|advert\w*|sponsor\w*|promo\w*|side-?bars?|widgets?|comments?|replies|disqus|respond|related|recommended)(?:\s|$)")
 #: What a head can hold.
 _IN_HEAD = frozenset("html head title base basefont bgsound link meta noframes noscript script style template".split())
@@ -75,7 +78,11 @@ Token = tuple[str, str, str, bool, bool]
 
 def tokens(page: str) -> list[Token]:
     out: list[Token] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, place around, inside the named article, whether the place is a hard one
+    #: tag, the places around it (number, name, whether a hard one) from the outermost, inside the named article
+    stack: list[tuple[str, tuple[tuple[int, str, bool], ...], bool]] = []
+    texts: list[tuple[int, tuple]] = []
+    words: Counter = Counter()  # by place; 0: of the page
+    numbers = 0
 
     def leave(names: frozenset | set, stop: frozenset = frozenset()) -> None:
         for at in range(len(stack) - 1, -1, -1):
@@ -88,13 +95,17 @@ def tokens(page: str) -> list[Token]:
     for m in _TOKEN.finditer(page):
         if (text := m["text"]) is not None and stack and stack[-1][0] == "head" and text.strip():
             leave({"head"})  # the end tag is optional
-        place, named, hard = stack[-1][1:] if stack else ("", False, False)
+        places, named = stack[-1][1:] if stack else ((), False)
         if text is not None:
             if any(s[0] in OPAQUE for s in stack):
                 continue
             inner = next((s[0] for s in reversed(stack) if s[0] in BLOCKS), "")
             linked = any(s[0] == "a" for s in stack)
-            out.append(("text", f"{place}|{inner}{'>a' if linked else ''}", text, False, named))
+            texts.append((len(out), places))
+            out.append(("text", f"|{inner}{'>a' if linked else ''}", text, False, named))
+            if n := len(text.split()):
+                for number in (0, *(x[0] for x in places)):
+                    words[number] += n
             continue
         tag = (m["tag"] or "").lower()
         if not tag:
@@ -109,20 +120,29 @@ def tokens(page: str) -> list[Token]:
             leave({"p"}, frozenset(("td", "th", "table", "button", "article", "section", "div", "body", "aside", "main", "li")) if tag != "p" else frozenset(("td", "th", "div", "section", "article", "aside", "main", "li")))
         if tag in _SAME:
             leave(set(_SAME[tag].split()), frozenset(("ul", "ol", "menu", "dl", "table", "select")))
-        place, named, hard = stack[-1][1:] if stack else ("", False, False)
-        names = _BESIDE.sub(" ", " ".join(a or b or c for a, b, c in _NAMES.findall(m["rest"])).lower())
+        places, named = stack[-1][1:] if stack else ((), False)
+        hard = any(x[2] for x in places)
+        names = _OF_ARTICLE.sub(" ", _BESIDE.sub(" ", " ".join(a or b or c for a, b, c in _NAMES.findall(m["rest"])).lower()))
         if tag == "main" or (tag == "article" and not named and not hard and not _HARD_NAMES.search(names)):
-            place, hard = "", False  # what is around the article does not make it less of one
+            places = ()  # what is around the article does not make it less of one
         elif found := NOT_ARTICLE.search(names) if names and tag not in ("html", "body", "article") else None:
-            place, hard = place or f".{found[0].strip(' -_')}", hard or bool(_HARD_NAMES.search(names)) or tag in _HARD_PLACES
+            numbers += 1
+            places = (*places, (numbers, f".{found[0].strip(' -_')}", bool(_HARD_NAMES.search(names)) or tag in _HARD_PLACES))
         elif tag in PLACES and not (tag == "header" and named):
-            place, hard = place or tag, hard or tag in _HARD_PLACES
+            numbers += 1
+            places = (*places, (numbers, tag, tag in _HARD_PLACES))
         out.append(("open", tag, "", tag in BLOCKS, named))
         if tag in ("br", "wbr", "hr"):
             if tag == "br":
                 out.append(("text", "", " ", False, named))
         if tag not in VOID and not m["rest"].endswith("/"):
-            stack.append((tag, place, named or tag in ("article", "main"), hard))
+            stack.append((tag, places, named or tag in ("article", "main")))
+    # A wrapper around most of the page is no place, unless it is one by its very kind: the next place inside it counts.
+    for at, around in texts:
+        name = next((x[1] for x in around if x[2] or 2 * words[x[0]] <= words[0]), "")
+        if name:
+            kind, where, text, block, named = out[at]
+            out[at] = (kind, name + where, text, block, named)
     return out
 
 

@@ -174,6 +174,19 @@ def test_pages_keep_an_article_inside_wrappers(spark, before, after):
     assert {r.text for r in got} == {"Title\nOne two three four five six.\nLast words of it."}
 
 
+WIDE = ['<form id="f1">{}</form>', '<div class="social-layout">{}</div>', '<div class="legal">{}</div>', '<main><div class="alert-story">{}</div></main>',
+        '<header>{}</header>', '<div class="search-page"><div class="widget-free notices">{}</div></div>', "<article>{}</article>"]
+
+
+@pytest.mark.parametrize("wrapper", WIDE)
+def test_pages_inside_one_wrapper(spark, wrapper):
+    inner = ('<nav><a href="/">Home</a> <a href="/a">About us</a></nav><div class="article-header"><h1>Title</h1></div><p>One two three four five six.</p>'
+             '<p>Last words of it, and some more of them.</p><div class="share">Share this</div><aside>Related things to read</aside>')
+    page = f"<html><head><title>t</title></head><body>{wrapper.format(inner)}<footer>All rights reserved</footer></body></html>"
+    row = html_extract.extract_pages(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()
+    assert row.text == "Title\nOne two three four five six.\nLast words of it, and some more of them."
+
+
 @pytest.mark.parametrize("start", ["<body>", "<div>", ""])
 def test_pages_without_the_end_of_the_head(spark, start):
     page = f"<html><head><title>T</title><meta charset=x><noscript><img src=x></noscript><script>a()</script>{start}<p>One two three four five six.</p>"
