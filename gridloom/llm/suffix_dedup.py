@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import raw_texts, stored
-from gridloom.session import shuffle_width
+from gridloom.session import ship_package, shuffle_width
 
 LAST = np.iinfo(np.int64).max
 REPEATED, COMPARED, DEALT = 1, 2, 3   # what is known of a phrase: seen before, to compare, to deal out by strings
@@ -483,6 +483,7 @@ def _apply(parts: Iterator[pa.RecordBatch], rules: RepeatRules, with_text: bool)
 def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; on request the bytes kept and the removed
     spans (start and end in turn)."""
+    ship_package(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_width(docs.sparkSession), -(-total // rules.bucket_bytes))
