@@ -38,8 +38,16 @@ from gridloom.llm.common import as_text, raw_texts, stored, vocabulary_path
 from gridloom.session import ship_package
 
 WORD_BPE = "word_bpe_49k.json"
-#: Characters that are encoded at once. A longer text is encoded in stretches that end at a blank.
+#: Bytes of a text that are taken apart at once; a longer text is cut at blanks.
 STRETCH = 1 << 20
+#: Distinct words whose ids are remembered in a worker (twice as many at most), and the longest word that is.
+WORDS_HELD, LONGEST_HELD = 500_000, 64
+_BLANK = re.compile(rb"[ \t\n]")
+#: A control character: a word of its own between blanks.
+_MARK = b"\x01"
+_BETWEEN = b" " + _MARK + b" "
+
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
@@ -84,37 +92,76 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
-def stretches(text: str, size: int = STRETCH) -> list[str]:
-    """The text cut before blanks, into parts of about ``size``. No token spans a blank, so parts have the ids of the whole."""
-    out, at = [], 0
-    blank = re.compile("[ \t\n]")
-    while len(text) - at > size and (found := blank.search(text, at + size)):
-        out.append(text[at:found.start()])
-        at = found.start()
-    return [*out, text[at:]]
+class WordIds:
+    """Ids of texts, by the ids of their words.
+
+    No token spans an ASCII blank, and nothing the vocabulary does to a word depends on what stands beyond one. So each
+    distinct run between blanks is encoded once, by the library, and remembered; a text is put together from its runs.
+    Unknown runs are encoded many at a time, with a word between them that stands in no run and has one id.
+    """
+
+    def __init__(self, vocabulary: str = WORD_BPE, remembered: int = WORDS_HELD):
+        self._encode = _library(vocabulary_path(vocabulary)).encode_batch_fast
+        self._mark = self._ids([_MARK.decode()])[0]
+        if len(self._mark) != 1:
+            raise ValueError("the vocabulary has no entry for the mark between words")
+        self._runs, self._older, self._most = {}, {}, remembered
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(found.ids, "<u4") for found in self._encode(texts, add_special_tokens=False)]
+
+    def raws(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text in UTF-8, four little-endian bytes an id. Texts of about ``STRETCH`` bytes are looked up together."""
+        group, held = [], 0
+        for text in texts:
+            if group and held + len(text) > STRETCH:
+                yield from self._group(group)
+                group, held = [], 0
+            if len(text) > STRETCH:
+                yield b"".join([ids for part in stretches(text) for ids in self._group([part])])
+            else:
+                group.append(text)
+                held += len(text)
+        yield from self._group(group)
+
+    def _group(self, texts: list[bytes]) -> list[bytes]:
+        if len(self._runs) > self._most:  # those in use come back from the older half
+            self._older, self._runs = self._runs, {}
+        lists, older = [text.split() for text in texts], self._older
+        missing = set().union(*lists).difference(self._runs)
+        new = [w for w in missing if w not in older]
+        self._runs.update((w, older[w]) for w in missing if w in older)
+        if any(_MARK in text for text in texts):
+            odd = [w for w in new if _MARK in w]
+            new = [w for w in new if _MARK not in w]
+            self._runs.update(zip(odd, (ids.tobytes() for ids in self._ids([as_text(w) for w in odd]))))
+        if new:
+            ids = self._ids([as_text(_BETWEEN.join(new))])[0]
+            ends = [*np.flatnonzero(ids == self._mark[0]).tolist(), len(ids)]
+            if len(ends) != len(new):
+                raise ValueError("the vocabulary divides words in another way")
+            raw, starts = ids.tobytes(), [0, *[4 * e + 4 for e in ends]]
+            self._runs.update(zip(new, [raw[lo:4 * hi] for lo, hi in zip(starts, ends)]))
+        out = [b"".join(map(self._runs.__getitem__, words)) for words in lists]
+        for word in missing:
+            if len(word) > LONGEST_HELD:
+                del self._runs[word]
+        return out
 
 
-def ids_of(texts: list[str], vocabulary: str = WORD_BPE, size: int = STRETCH) -> Iterator[np.ndarray]:
-    """The ids of each text, little-endian; about ``size`` characters are encoded at a time."""
-    encode = _library(vocabulary_path(vocabulary)).encode_batch_fast
-    waiting: list[list[str]] = []
+@lru_cache(maxsize=2)
+def _words_of(vocabulary: str) -> WordIds:
+    """Kept by a Python worker from task to task."""
+    return WordIds(vocabulary)
 
-    def flush() -> Iterator[np.ndarray]:
-        if len(waiting) == 1 and len(waiting[0]) > 1:  # one long text, part by part
-            yield np.concatenate([np.asarray(encode([p], add_special_tokens=False)[0].ids, "<u4") for p in waiting[0]])
-        elif waiting:
-            for found in encode([parts[0] for parts in waiting], add_special_tokens=False):
-                yield np.asarray(found.ids, "<u4")
-        waiting.clear()
 
-    held = 0
-    for text in texts:
-        if waiting and held + len(text) > size:
-            yield from flush()
-            held = 0
-        waiting.append(stretches(text, size))
-        held += len(text)
-    yield from flush()
+def stretches(raw: bytes, size: int = STRETCH) -> Iterator[bytes]:
+    """The text cut at blanks, into parts of about ``size`` bytes."""
+    at = 0
+    while len(raw) - at > size and (found := _BLANK.search(raw, at + size)):
+        yield raw[at:found.start()]
+        at = found.start()
+    yield raw[at:]
 
 
 # ---- filling -----------------------------------------------------------------------------------------------------------
@@ -169,11 +216,11 @@ class _Filler:
 
 def _from_texts(rules: HarmonicRules):
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filler = _Filler(rules, 0)
+        filler, ids, end = _Filler(rules, 0), _words_of(rules.vocabulary), rules.end_id.to_bytes(4, "little")
         for part in parts:
-            docs = part.column(0).to_pylist()
-            for doc, ids in zip(docs, ids_of([as_text(raw) for raw in raw_texts(part.column(1))], rules.vocabulary)):
-                raw, n, start = np.append(ids, np.uint32(rules.end_id)).astype("<u4").tobytes(), len(ids) + 1, 0
+            for doc, raw in zip(part.column(0).to_pylist(), ids.raws(list(raw_texts(part.column(1))))):
+                raw, start = raw + end, 0
+                n = len(raw) // 4
                 for length in cuts(n, rules):
                     filler.add((doc, start, length, zlib.crc32(raw[4 * start:4 * (start + length)]), n))
                     start += length
