@@ -85,6 +85,15 @@ def shared_folder(spark: SparkSession) -> str:
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
+def owned_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared folder that is removed when the application ends."""
+    path = f"{shared_folder(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
+    if not _OWNED:
+        atexit.register(_remove_owned)
+    _OWNED.append((spark, path))
+    return path
+
+
 def cut_lineage(df: DataFrame, label: str, *partitions: str) -> DataFrame:
     """Write an intermediate to the shared folder and read it back, on request partitioned by some columns.
 
@@ -92,12 +101,9 @@ def cut_lineage(df: DataFrame, label: str, *partitions: str) -> DataFrame:
     belong to the application and are removed when it ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
+    path = owned_folder(spark, label)
     writer = df.write.partitionBy(*partitions) if partitions else df.write
     writer.parquet(path)
-    if not _OWNED:
-        atexit.register(_remove_owned)
-    _OWNED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
