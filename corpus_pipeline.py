@@ -5,8 +5,9 @@ the next. All but the last return the columns of documents:
 
 * quality: documents outside the fertility bands of their language, or failing the base rules, go;
 * line dedup: lines that repeat a template of an earlier document go; a document keeps its row even if none is left;
-* near dedup: of every group of near copies (Jaccard of five-word shingles 0.8 or more) the document with the least id stays;
-* mix: every source is taken to its target, documents repeated or left out as whole documents;
+* near dedup: of every group of near duplicates (fingerprints of three-word shingles that differ in at most 3 bits) the
+  document with the least id stays;
+* mix: every source is taken to its target, documents repeated or left out as whole documents; those without words go;
 * pack: what is left is cut and packed into sequences; one row per piece.
 
 Nulls, empty tables, repeated rows and extra columns are handled as each operator states it.
@@ -14,8 +15,6 @@ Nulls, empty tables, repeated rows and extra columns are handled as each operato
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +22,8 @@ from gridloom.llm.line_dedup import drop_recurring_lines
 from gridloom.llm.mixing import mixed_documents
 from gridloom.llm.packing import pack
 from gridloom.llm.quality import keep_good
-from gridloom.llm.similar_texts import keep_one_similar
-from gridloom.session import shared_folder
+from gridloom.llm.simhash import keep_one
+from gridloom.session import owned_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one_similar(docs)
+    return keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
+    """All stages, each written to the shared folder and read again. The folder goes when the application ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_folder(spark)}/gridloom/pipeline-{uuid.uuid4().hex}"
+    base = owned_folder(spark, "pipeline")
     for name, stage in STAGES:
         made = stage(spark, docs, sf_dir)
         made.write.parquet(f"{base}/{name}")
