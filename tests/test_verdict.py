@@ -121,22 +121,49 @@ SIDE_DOORS = [
     "select transform(1) using 'echo hi' as (x string)", "select transform(1) using /* x */ 'echo'", "select reflect('java.lang.System', 'getenv')",
     "select `reflect` ('a', 'b')", "select java_method('a', 'b') from t", "select try_reflect--x\n('a')", "select * from parquet.`/etc/x`",
     "select * from \"csv\" . \"/etc/x\"", "select * from t, json.`/x`", "select * from other.t", "select 1 from t join other.t2 on true",
-    "select * from identifier('parquet.`/x`')"]
+    "select * from identifier('parquet.`/x`')",
+    "select 1 /* /* */ ' */ , reflect('java.lang.System', 'getenv') -- '", "select r'\\' as x, reflect('java.lang.System', 'getenv') as y, '' as z",
+    "select sum(a) over w from t window w as (order by reflect('a', 'b'))", "select a from t where exists (select reflect('a', 'b'))",
+    "select system.builtin.reflect('a', 'b')", "select 1 from t lateral view reflect('a', 'b') x", "select * from t version as of 1",
+    "select input_file_name() from t", "select :x", "select * from read_files('/etc')", "select a from t order by java_method('a', 'b') limit 1",
+    "with c as (select reflect('a', 'b') as x) select 1", "select transform(array(1), x -> reflect('a', 'b'))", "select aes_decrypt(a, b) from t"]
 
 
 @pytest.mark.parametrize("sql", SIDE_DOORS)
-def test_side_doors_are_closed(sql):
+def test_side_doors_are_closed(spark, sql):
     with pytest.raises(GuardError, match="mutating_sql_rejected"):
         require_read_only(sql)
 
 
 @pytest.mark.parametrize("sql", [
     "select a.x, b.y from a join b using (k) where a.t = 'using ''x'' reflect('", "with c as (select 1 as text) select c.text from c -- from x.y",
-    "select transform(array(1), x -> x + 1) from t", "select \"from\" from t where s = 'from a.b'", "select extract(year from d.x) from d"])
-def test_plain_queries_pass(sql):
+    "select transform(array(1), x -> x + 1) from t", "select \"from\" from t where s = 'from a.b'", "select extract(year from d.x) from d",
+    "with recursive r(n) as (select 1 union all select n + 1 from r where n < 5) select * from r", "select * from t pivot (sum(x) for m in ('a', 'b'))",
+    "select a, sum(b) filter (where c), row_number() over w from t group by rollup(a) having count(*) > 1 window w as (order by a)",
+    "select * from t, lateral (select t.a + 1), lateral (select 2)", "select * from values (1, 2) as v(a, b) where a in (select x from t limit 5 offset 1)"])
+def test_plain_queries_pass(spark, sql):
     assert require_read_only(sql) == sql
 
 
+def test_free_tables(spark):
+    from gridloom.functions.sql_guard import parsed_read_only
+    free = lambda sql: parsed_read_only(sql)[1].relations
+    assert free("with c as (select * from t), d as (select * from c) select * from d join E on true") == {"t", "e"}
+    assert free("with t as (select * from t) select * from t") == {"t"}
+    assert free("select * from (with x as (select 1) select * from x) a, x") == {"x"}
+    assert free("with recursive r(n) as (select 1 union all select n + 1 from r) select n from r") == set()
+
+
+def test_only_region_tables_are_answered(spark, grid):
+    spark.range(3).createOrReplaceTempView("secrets")
+    lake = Lake(grid({"S": {"A1": "Vendor", "B1": "Amount", "A2": "x", "B2": 1}}))
+    with pytest.raises(GuardError, match="table_not_found"):
+        lake.sql("select * from secrets")
+    with pytest.raises(GuardError, match="table_not_found"):
+        lake.sql("select * from (with secrets as (select 1) select * from secrets) a, secrets")
+    assert lake.query("with secrets as (select vendor from S_LEDGER_1) select * from secrets").rows == [{"vendor": "x"}]
+
+
 def test_query_limits_follow_the_caller(grid):
     lake = Lake(grid({"S": {"A1": "Vendor", "B1": "Amount", **{f"A{i}": f"v{i}" for i in range(2, 1300)}, **{f"B{i}": i for i in range(2, 1300)}}}))
     sql = "select * from s_ledger_1"
