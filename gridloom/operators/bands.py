@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as tx
-from gridloom.session import shuffle_width
 from gridloom.sources.grid import ROW_BLOCK, block_row_number
 
 SHEET = ["workbook", "sheet"]
@@ -101,35 +100,37 @@ def banded_runs(runs: DataFrame, layout: DataFrame) -> DataFrame:
     return runs.select(*SHEET, "block", "start", "end", "band_start").join(layout, [*SHEET, "band_start"])
 
 
-def row_map(banded: DataFrame, last_row: Column | None = None) -> DataFrame:
-    """One row per non-empty grid row: its band bounds and column bands.
+#: Rows of one entry of the row index: the bits of a long.
+INDEX_ROWS = 64
 
-    ``last_row`` narrows it to rows up to that one (an expression over the band).
+
+def row_index(banded: DataFrame, *extra: str) -> DataFrame:
+    """Where rows find their band: per (sheet, 64 rows) the runs there, in order, and a bit for each row a run begins at.
+
+    A run that began in an earlier entry begins at the first bit. An entry has at most 32 runs, and there is one for 64 rows,
+    so the index is far smaller than the rows it stands for. ``extra`` columns of ``banded`` go with each run.
     """
-    end = F.col("end") if last_row is None else F.least(F.col("end"), last_row)
-    spread = (
-        banded.withColumn("end", end).where(F.col("start") <= F.col("end"))
-        .repartition(shuffle_width(banded.sparkSession), *SHEET, "block", "start")
-    )
-    return spread.select(
-        *SHEET, F.explode(F.sequence("start", "end")).alias("r"),
-        F.col("band_start").alias("min_r"), F.col("band_end").alias("max_r"), "col_bands")
+    pieces = banded.select("*", F.explode(F.expr(f"sequence(start div {INDEX_ROWS}, end div {INDEX_ROWS})")).alias("entry"))
+    first = F.greatest(F.col("start"), F.col("entry") * INDEX_ROWS) - F.col("entry") * INDEX_ROWS
+    run = F.struct(F.col("start"), F.col("end"), F.col("band_start").alias("min_r"), F.col("band_end").alias("max_r"), "col_bands", *extra)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), first.cast("int"))
+    return pieces.withColumn("_bit", bit).groupBy(*SHEET, "entry").agg(F.bit_or("_bit").alias("begins"), F.array_sort(F.collect_list(run)).alias("runs"))
 
 
-def label_cells(cells: DataFrame, rows: DataFrame, known_size: bool = False) -> DataFrame:
+def label_cells(cells: DataFrame, index: DataFrame, extra: str | None = None) -> DataFrame:
     """Attach region bounds to every stored cell that lies in a region.
 
-    A row map is exploded from a few runs, so its size estimate says nothing: it must not be
-    broadcast on that estimate. With ``known_size`` it is a stored table, and Spark may decide.
+    ``index`` is a stored row index, so Spark knows its size: cells are not shuffled where it can be sent to every task. A
+    cell finds its run by counting the bits up to its row, not by a search. ``extra``: keep rows up to that column of the run.
     """
-    if not known_size:
-        rows = rows.hint("merge")
-    width_one = F.size("col_bands") == 1
-    hit = F.when(width_one, F.get(F.col("col_bands"), F.lit(0))).otherwise(
-        F.get(F.filter("col_bands", lambda b: (F.col("c") >= b["min_c"]) & (F.col("c") <= b["max_c"])), F.lit(0)))
-    joined = cells.join(rows, [*SHEET, "r"]).withColumn("band", hit)
-    return (
-        joined.where((F.col("c") >= F.col("band.min_c")) & (F.col("c") <= F.col("band.max_c")))
-        .withColumn("min_c", F.col("band.min_c")).withColumn("max_c", F.col("band.max_c"))
-        .drop("band", "col_bands")
-    )
+    places = index.select(*[F.col(k).alias(f"_{k}") for k in SHEET], "entry", "begins", "runs")
+    at = F.expr(f"r div {INDEX_ROWS}")
+    joined = cells.join(places, (cells["workbook"] == F.col("_workbook")) & (cells["sheet"] == F.col("_sheet")) & (at == F.col("entry")))
+    upto = F.expr(f"begins & shiftrightunsigned(-1L, cast({INDEX_ROWS - 1} - r % {INDEX_ROWS} as int))")
+    run = joined.withColumn("_run", F.get(F.col("runs"), F.bit_count(upto) - 1)).where("r <= _run.end" + (f" and r <= _run.{extra}" if extra else ""))
+    bands_ = F.col("_run.col_bands")
+    hit = F.when(F.size(bands_) == 1, F.get(bands_, F.lit(0))).otherwise(
+        F.get(F.filter(bands_, lambda b: (F.col("c") >= b["min_c"]) & (F.col("c") <= b["max_c"])), F.lit(0)))
+    found = run.withColumn("_band", hit).where((F.col("c") >= F.col("_band.min_c")) & (F.col("c") <= F.col("_band.max_c")))
+    return found.select(*cells.columns, F.col("_run.min_r").alias("min_r"), F.col("_run.max_r").alias("max_r"),
+                        F.col("_band.min_c").alias("min_c"), F.col("_band.max_c").alias("max_c"))

@@ -187,6 +187,14 @@ class Structure:
         """One row per row band with its column bands."""
         return cut_lineage(bands.band_layout(self.runs), "layout")
 
+    @cached_property
+    def index(self) -> DataFrame:
+        """Row index of all bands; ``head_end``: the last row of each that headers and periods are looked for in."""
+        top = self.bounds.select(*SHEET, F.col("min_r").alias("sheet_top"))
+        last = F.greatest(F.col("band_start") + (_HEAD_ROWS - 1), F.col("sheet_top") + (PERIOD_SCAN_ROWS - 1))
+        banded = bands.banded_runs(self.runs, self.layout).join(top, SHEET).withColumn("head_end", last)
+        return cut_lineage(bands.row_index(banded, "head_end"), "row_index")
+
     @cached_property
     def rectangles(self) -> DataFrame:
         return bands.number_regions(self.layout, self.block_rows)
@@ -201,9 +209,8 @@ class Structure:
         """Per region column: counts over the rows below the header scan, plus totals."""
         flagged = _flags(self.cells).select(
             *SHEET, "r", "c", "filled", "raw_kind", "val_filled", "val_kind", "pct_counted", "pct_usable")
-        rows = bands.row_map(bands.banded_runs(self.runs, self.layout))
         below = F.col("r") >= F.col("min_r") + HEADER_SCAN_ROWS
-        return cut_lineage(bands.label_cells(flagged, rows).groupBy(*REGION, "max_r", "max_c", "c").agg(
+        return cut_lineage(bands.label_cells(flagged, self.index).groupBy(*REGION, "max_r", "max_c", "c").agg(
             F.count_if("filled").alias("total_n"),
             F.count_if(F.col("filled") & F.col("raw_kind").isin("text", "formula")).alias("total_str"),
             *[F.count_if(below & cond).alias(k) for k, cond in _counters().items()],
@@ -212,13 +219,9 @@ class Structure:
     @cached_property
     def head(self) -> DataFrame:
         """Stored cells in the first rows of each region, and in the first rows of each sheet."""
-        top = self.bounds.select(*SHEET, F.col("min_r").alias("sheet_top"))
-        banded = bands.banded_runs(self.runs, self.layout).join(top, SHEET)
-        last = F.greatest(F.col("band_start") + (_HEAD_ROWS - 1), F.col("sheet_top") + (PERIOD_SCAN_ROWS - 1))
-        cells = _flags(self.cells).drop("sheet_idx")
-        # Stored first: the few head rows then have a true size, and cells need no shuffle when it is small.
-        rows = cut_lineage(bands.row_map(banded, last), "head_rows")
-        return cut_lineage(bands.label_cells(cells, rows, known_size=True).select(
+        # Only head cells are looked at closer.
+        head = bands.label_cells(self.cells.drop("sheet_idx"), self.index, "head_end")
+        return cut_lineage(_flags(head).select(
             *REGION, "max_r", "max_c", "r", "c", "raw_kind", "raw_text", "raw_num", "val_kind", "val_text",
             "filled", "val_filled", "pct_counted", "pct_usable"), "head")
 
