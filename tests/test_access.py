@@ -61,12 +61,39 @@ def test_asof_lookup(spark):
     right = [(rng.choice("kkq"), rng.randint(0, 300), i, float(i)) for i in range(80)]
     l = spark.createDataFrame(left, "k string, t long, id long")
     r = spark.createDataFrame(right, "k string, t long, id long, v double")
-    got = {x["id"]: x["asof_value"] for x in joins.asof_lookup(l, r, "k", "t", "v", F.floor(F.col("t") / 20), "id").collect()}
+    got = {x["id"]: x["asof_value"] for x in joins.asof_lookup(l, r, "k", "t", "v", "id").collect()}
     for k, t, i in left:
         best = [(rt, ri, v) for rk, rt, ri, v in right if rk == k and rt <= t]
         assert got[i] == (max(best)[2] if best else None)
 
 
+def test_asof_ranges_carry_over(spark):
+    """One key over every range, keys that end and begin at the edges, nulls, large integers, no right rows at all."""
+    rng = random.Random(8)
+    for keys in ("a", "ab", "abcdefgh"):
+        left = [(rng.choice(keys), rng.randint(0, 400), i) for i in range(150)] + [(None, 5, 900), ("zz", 5, 901)]
+        right = [(rng.choice(keys), rng.randint(0, 40), i, 2**60 + i if i % 5 else None) for i in range(30)] + [(None, 1, 99, 7)]
+        l, r = spark.createDataFrame(left, "k string, t long, id long"), spark.createDataFrame(right, "k string, t long, id long, v long")
+        got = {x["id"]: x["asof_value"] for x in joins.asof_lookup(l, r, "k", "t", "v", "id").collect()}
+        for k, t, i in left:
+            best = [(rt, ri, v) for rk, rt, ri, v in right if rk == k and rt <= t and k is not None]
+            assert got[i] == (max(best, key=lambda x: x[:2])[2] if best else None)
+        assert all(x["asof_value"] is None for x in joins.asof_lookup(l, r.where("false"), "k", "t", "v", "id").collect())
+        assert joins.asof_lookup(l.where("false"), r, "k", "t", "v", "id").count() == 0
+
+
+def test_range_lookup_of_any_width(spark):
+    rng = random.Random(6)
+    points = [(i, rng.choice([50.0, rng.uniform(-300, 300)])) for i in range(120)] + [(500, None), (501, float("nan"))]
+    spans = [(i, a, a + rng.choice([0.0, 0.5, 3.0, 70.0, 1000.0])) for i, a in enumerate(rng.uniform(-300, 300) for _ in range(60))]
+    spans += [(100, -1e300, 1e300), (101, 50.0, 50.0), (102, 5.0, 4.0), (103, None, 9.0), (104, float("-inf"), float("inf"))]
+    p, s = spark.createDataFrame(points, "p long, x double"), spark.createDataFrame(spans, "s long, lo double, hi double")
+    want = sorted((i, j) for i, x in points for j, a, b in spans if x is not None and a is not None and a <= x <= b)
+    for hot in (100_000, 5):
+        assert sorted((r.p, r.s) for r in joins.range_lookup(p, s, "x", "lo", "hi", 1.0, hot).collect()) == want
+    assert joins.range_lookup(p, s.where("false"), "x", "lo", "hi", 1.0).count() == 0
+
+
 def test_row_index(spark):
     keys = random.Random(5).sample(range(10**6), 700)
     df = spark.createDataFrame([(k, f"t{k:07d}") for k in keys], "k long, t string")
