@@ -1,12 +1,16 @@
 """Ordered edits on cell tables - validate, warn, diff, apply, commit.
 
-A batch is applied in one pass over the touched sheets. Row inserts and deletes are kept as a short
-list of shifts per sheet; every edit coordinate is first traced back to a stable row id (a base row,
-or "k-th row of insert n"), so the last write per stable cell wins and rows move only once, at the end.
+A batch is applied in one pass over the touched sheets. Every edit coordinate is first traced back through the inserts and
+deletes before it to a stable row id (a base row, or "k-th row of insert n"), so the last write per stable cell wins and
+rows move only once, at the end (see ``shifts``).
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,13 +18,13 @@ from pyspark.sql import types as T
 from gridloom.functions import a1
 from gridloom.functions.sql_guard import GuardError
 from gridloom.operators.bands import SHEET
+from gridloom.operators.joins import last_before
 from gridloom.operators.ranges import RANGE_BLOCK, range_cells
+from gridloom.operators.shifts import RowShifts, final_rows, sheet_ends, shift_ranks
 from gridloom.operators.structure import sheet_bounds
 from gridloom.session import cut_lineage
 from gridloom.sources.grid import CELL_COLUMNS, complete_cells
-
-#: Most cells in one file of a committed table.
-FILE_ROWS = 20_000_000
+from gridloom.sources.store import PART_SCHEMAS, of_books
 
 # The edit types.
 EDIT_TYPES = (
@@ -282,95 +286,29 @@ def diff(staged: DataFrame, cells: DataFrame) -> DataFrame:
 
 # -- applying -------------------------------------------------------------------------------------
 
-def _stable_row(r: Column, seq: Column, shifts: Column) -> Column:
-    """Struct(row, origin): where a row, as seen just before ``seq``, comes from.
-
-    origin 0 = base row; otherwise the (seq + 1) of the insert that made it, and row = offset in it.
-    """
-    past = F.reverse(F.filter(shifts, lambda s: s["seq"] < seq))
-    start = F.struct(r.cast("long").alias("row"), F.lit(0).cast("long").alias("origin"))
-
-    def back(acc: Column, s: Column) -> Column:
-        row, idx, amount = acc["row"], s["idx"], s["amount"]
-        undo_insert = F.when(
-            (row >= idx) & (row < idx + amount), F.struct((row - idx).alias("row"), (s["seq"] + 1).alias("origin"))
-        ).otherwise(F.struct(F.when(row >= idx + amount, row - amount).otherwise(row).alias("row"), acc["origin"].alias("origin")))
-        undo_delete = F.struct(F.when(row >= idx, row + amount).otherwise(row).alias("row"), acc["origin"].alias("origin"))
-        return F.when(acc["origin"] != 0, acc).when(s["insert"], undo_insert).otherwise(undo_delete)
-
-    return F.when(F.size(shifts) > 0, F.aggregate(past, start, back)).otherwise(start)
-
-
-def _final_row(row: Column, origin: Column, shifts: Column) -> Column:
-    """Row number after the whole batch; null when a later delete removes it."""
-    born = F.filter(shifts, lambda s: s["seq"] + 1 == origin)
-    start = F.when(origin == 0, row).otherwise(F.get(born, F.lit(0))["idx"] + row)
-    later = F.filter(shifts, lambda s: (origin == 0) | (s["seq"] + 1 > origin))
-
-    def forward(acc: Column, s: Column) -> Column:
-        idx, amount = s["idx"], s["amount"]
-        inserted = F.when(acc >= idx, acc + amount).otherwise(acc)
-        deleted = F.when(acc >= idx + amount, acc - amount).when(acc < idx, acc)
-        return F.when(s["insert"], inserted).otherwise(deleted)
-
-    return F.when(F.size(shifts) > 0, F.aggregate(later, start.cast("long"), forward)).otherwise(row)
-
-
-_NO_SHIFTS = "cast(array() as array<struct<seq:bigint,insert:boolean,idx:bigint,amount:bigint>>)"
-# Operations per segment when the end of a sheet is followed through a batch.
+# Operations per stretch when the end of a sheet is followed through a batch.
 SEQ_BLOCK = 65_536
 
 
-def _shifts(ops: DataFrame) -> DataFrame:
-    """Inserts and deletes of each sheet, in order (as many entries as the sheet has such edits)."""
-    return ops.where(F.col("type").isin("insert_rows", "delete_rows")).groupBy(*SHEET).agg(
-        F.array_sort(F.collect_list(F.struct(
-            F.col("seq"), (F.col("type") == "insert_rows").alias("insert"), F.col("idx"), F.col("amount")))).alias("shifts"))
-
-
-def _append_tops(ops: DataFrame, shifts: DataFrame) -> DataFrame:
+def _append_tops(ops: DataFrame, shifts: RowShifts) -> DataFrame:
     """First row of each append_rows: below the last row the sheet has at that point of the batch.
 
     The sheet end e follows e = max(e, end of write) and e = e + appended rows. Both are carried as
-    (sum, max) pairs per segment of the batch, then chained over the few segments of a sheet.
+    (sum, max) pairs per stretch of the batch, then the stretches of a sheet are chained with its shifts.
     """
-    growing = ops.join(ops.where("type = 'append_rows'").select(*SHEET).distinct(), SHEET, "left_semi").join(shifts, SHEET, "left")
-    growing = growing.withColumn("shifts", F.coalesce("shifts", F.expr(_NO_SHIFTS)))
-    epoch = F.size(F.filter("shifts", lambda s: s["seq"] < F.col("seq")))
+    growing = ops.join(ops.where("type = 'append_rows'").select(*SHEET).distinct(), SHEET, "left_semi")
     added = F.when(F.col("type") == "append_rows", _height(F.col("rows"))).otherwise(F.lit(0))
     end = F.when(F.col("type").isin("set_values", "set_formula", "copy_range"), F.col("touched.max_r"))
-    steps = growing.select(
-        *SHEET, "seq", "type", "shifts", "sheet_max_r", epoch.alias("epoch"),
-        F.expr(f"seq div {SEQ_BLOCK}").alias("part"), added.alias("added"), end.alias("end"))
-    inside = Window.partitionBy(*SHEET, "epoch", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    steps = growing.where(~F.col("type").isin("insert_rows", "delete_rows")).select(
+        *SHEET, "seq", "type", "sheet_max_r", "rank", F.expr(f"seq div {SEQ_BLOCK}").alias("part"), added.alias("added"), end.alias("end"))
+    inside = Window.partitionBy(*SHEET, "rank", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     steps = steps.withColumn("sum_before", F.coalesce(F.sum("added").over(inside), F.lit(0)))
     steps = steps.withColumn("rel_end", F.col("end") - F.col("sum_before"))
-    steps = steps.withColumn("max_before", F.max("rel_end").over(inside))
-    segment = F.struct("epoch", "part")
-    totals = steps.groupBy(*SHEET, "shifts", "sheet_max_r", segment.alias("segment")).agg(
-        F.sum("added").alias("added"), F.max("rel_end").alias("rel_end"))
-    listed = totals.groupBy(*SHEET, "shifts", "sheet_max_r").agg(
-        F.array_sort(F.collect_list(F.struct("segment", "added", "rel_end"))).alias("segments"))
-
-    def shift_end(e: Column, s: Column) -> Column:
-        moved = F.when(e >= s["idx"], e + s["amount"]).otherwise(e)
-        cut = F.when(e >= s["idx"] + s["amount"], e - s["amount"]).when(e >= s["idx"], s["idx"] - 1).otherwise(e)
-        return F.when(s["insert"], moved).otherwise(cut)
-
-    def carry(acc: Column, seg: Column) -> Column:
-        due = F.slice("shifts", acc["epoch"] + 1, seg["segment"]["epoch"] - acc["epoch"])
-        at = F.aggregate(due, acc["end"], shift_end)
-        after = seg["added"] + F.greatest(at, F.coalesce(seg["rel_end"], at))
-        return F.struct(
-            after.alias("end"), seg["segment"]["epoch"].alias("epoch"),
-            F.concat(acc["starts"], F.array(F.struct(seg["segment"].alias("segment"), at.alias("at")))).alias("starts"))
-
-    zero = F.struct(
-        F.col("sheet_max_r").alias("end"), F.lit(0).alias("epoch"),
-        F.expr("cast(array() as array<struct<segment:struct<epoch:int,part:bigint>,at:bigint>>)").alias("starts"))
-    starts = listed.select(*SHEET, F.inline(F.aggregate("segments", zero, carry)["starts"])).select(
-        *SHEET, F.col("segment.epoch").alias("epoch"), F.col("segment.part").alias("part"), "at")
-    tops = steps.where("type = 'append_rows'").join(starts, [*SHEET, "epoch", "part"]).select(
+    steps = cut_lineage(steps.withColumn("max_before", F.max("rel_end").over(inside)), "append_steps")
+    totals = steps.groupBy(*SHEET, "rank", "part").agg(
+        F.max("sheet_max_r").alias("sheet_max_r"), F.sum("added").alias("added"), F.max("rel_end").alias("rel_end"))
+    starts = sheet_ends(totals, shifts.shifts)
+    tops = steps.where("type = 'append_rows'").join(starts, [*SHEET, "rank", "part"]).select(
         *SHEET, "seq", (F.col("sum_before") + F.greatest("at", F.coalesce("max_before", "at")) + 1).alias("top"))
     return ops.where("type = 'append_rows'").join(tops, [*SHEET, "seq"])
 
@@ -399,16 +337,11 @@ def _resolve_copies(events: DataFrame, base: DataFrame) -> DataFrame:
     """
     key = [*SHEET, "origin", "row", "c"]
     eid = F.struct("seq", "origin", "row", "c")
-    written = events.select(*key, "seq", F.col("is_copy"), "new", "fmt", eid.alias("eid"), F.lit(None).cast("boolean").alias("probe"), F.lit(None).cast(
-        "struct<seq:bigint,origin:bigint,row:bigint,c:int>").alias("asker"))
+    # A copy sees what was written before its own operation: the state just before its number.
+    written = events.select(*key, (F.col("seq") * 2).alias("at"), F.struct(eid.alias("eid"), "is_copy", "new", "fmt").alias("write"))
     probes = events.where("is_copy").select(
-        *SHEET, F.col("src.origin").alias("origin"), F.col("src.row").alias("row"), F.col("src_c").alias("c"), "seq",
-        F.lit(None).cast("boolean").alias("is_copy"), _null_content().alias("new"), F.lit(None).cast("string").alias("fmt"),
-        F.lit(None).cast("struct<seq:bigint,origin:bigint,row:bigint,c:int>").alias("eid"), F.lit(True).alias("probe"), eid.alias("asker"))
-    # Within one seq a probe sorts before the writes, so it sees the state before its own operation.
-    order = Window.partitionBy(*key).orderBy("seq", F.col("probe").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.last(F.when(F.col("probe").isNull(), F.struct("eid", "is_copy", "new", "fmt")), ignorenulls=True).over(order)
-    found = written.unionByName(probes).withColumn("seen", seen).where("probe").select(*key, "asker", "seen")
+        *SHEET, F.col("src.origin").alias("origin"), F.col("src.row").alias("row"), F.col("src_c").alias("c"), (F.col("seq") * 2 - 1).alias("at"), eid.alias("asker"))
+    found = last_before(probes, written, key, ["at"], "write", "seen").drop("at")
     stored = base.select(*key, F.struct(*_CONTENT).alias("base_new"), F.col("number_format").alias("base_fmt"))
     links = found.join(stored, key, "left").select(
         *SHEET, "asker", F.when(F.col("seen.is_copy"), F.col("seen.eid")).alias("next"),
@@ -433,25 +366,37 @@ def _resolve_copies(events: DataFrame, base: DataFrame) -> DataFrame:
         F.when(F.col("is_copy"), F.col("got_fmt")).alias("fmt"))
 
 
+def _stable(writes: DataFrame, ops: DataFrame, shifts: RowShifts) -> DataFrame:
+    """Where the written and the copied rows come from: adds origin and row, and ``src`` (row, origin) on copies."""
+    zero = F.lit(0).cast("long")
+    source = lambda row, origin: F.when(F.col("src_r").isNotNull(), F.struct(row.cast("long").alias("row"), origin.alias("origin")))
+    plain = lambda df: df.withColumns({"origin": zero, "row": F.col("r"), "src": source(F.col("src_r"), zero)})
+    if not shifts.any:
+        return plain(writes)
+    still = plain(writes.join(shifts.sheets, SHEET, "left_anti"))
+    moving = cut_lineage(writes.join(shifts.sheets, SHEET, "left_semi").join(ops.select(*SHEET, "seq", "rank"), [*SHEET, "seq"]), "moving")
+    asked = moving.select(*SHEET, "rank", "r").union(moving.where("src_r is not null").select(*SHEET, "rank", "src_r"))
+    found = cut_lineage(shifts.origins(asked), "origins")
+    sources = found.select(*SHEET, "rank", F.col("r").alias("src_r"), F.col("origin").alias("_src_origin"), F.col("row").alias("_src_row"))
+    placed = moving.join(found, [*SHEET, "rank", "r"]).join(sources, [*SHEET, "rank", "src_r"], "left")
+    return still.unionByName(placed.withColumn("src", source(F.col("_src_row"), F.col("_src_origin"))).select(*still.columns))
+
+
 def apply(staged: DataFrame, cells: DataFrame) -> DataFrame:
     """The cell table after all accepted operations, in order of seq; the last write of a cell wins.
 
     Sheets without edits pass through unshuffled. Formulas are not rewritten when rows move.
     """
-    ops = cut_lineage(_clip_clears(accepted(staged)), "edit_ops")
-    shifts = cut_lineage(_shifts(ops), "edit_shifts")
+    ops = cut_lineage(shift_ranks(_clip_clears(accepted(staged))), "edit_ops")
+    shifts = RowShifts(ops)
     touched = ops.select(*SHEET).distinct()
     cells = complete_cells(cells)
     untouched = cells.join(touched, SHEET, "left_anti")
     base = cells.join(touched, SHEET, "left_semi").withColumn("origin", F.lit(0).cast("long")).withColumnRenamed("r", "row")
-    writes = cell_writes(ops, _append_tops(ops, shifts)).join(shifts, SHEET, "left")
-    moves = F.coalesce("shifts", F.expr(_NO_SHIFTS))
-    spot = _stable_row(F.col("r"), F.col("seq"), F.col("moves"))
-    source = _stable_row(F.col("src_r"), F.col("seq"), F.col("moves"))
-    events = writes.withColumn("moves", moves).withColumn("spot", spot).select(
-        *SHEET, F.col("spot.origin").alias("origin"), F.col("spot.row").alias("row"), "c", "seq", "new",
-        F.col("src_r").isNotNull().alias("is_copy"), F.when(F.col("src_r").isNotNull(), source).alias("src"), "src_c",
-        F.lit(None).cast("string").alias("fmt"))
+    has_appends = not ops.where("type = 'append_rows'").isEmpty()
+    appends = _append_tops(ops, shifts) if has_appends else ops.where("false").withColumn("top", F.lit(0).cast("long"))
+    events = _stable(cell_writes(ops, appends), ops, shifts).select(
+        *SHEET, "origin", "row", "c", "seq", "new", F.col("src_c").isNotNull().alias("is_copy"), "src", "src_c", F.lit(None).cast("string").alias("fmt"))
     events = cut_lineage(events, "edit_events")
     if not events.where("is_copy").limit(1).isEmpty():
         events = _resolve_copies(events, base)
@@ -461,34 +406,30 @@ def apply(staged: DataFrame, cells: DataFrame) -> DataFrame:
     content = [F.when(wrote, F.col(f"w.new.{k}")).otherwise(F.col(k)).alias(k) for k in _CONTENT]
     fmt = F.when(wrote, F.coalesce("w.fmt", "number_format")).otherwise(F.col("number_format")).alias("number_format")
     index = cells.join(touched, SHEET, "left_semi").groupBy(*SHEET).agg(F.min("sheet_idx").alias("_idx"))
-    final = _final_row(F.col("row"), F.col("origin"), F.coalesce("shifts", F.expr(_NO_SHIFTS)))
-    out = (
-        merged.select(*_STABLE, "sheet_idx", *content, fmt, "comment", "hyperlink", "merged_range")
-        .where(F.col("raw_kind").isNotNull())
-        .join(shifts, SHEET, "left").join(index, SHEET, "left")
-        .withColumn("r", final).where(F.col("r").isNotNull())
-        .withColumn("sheet_idx", F.coalesce("sheet_idx", "_idx"))
-    )
+    kept = merged.select(*_STABLE, "sheet_idx", *content, fmt, "comment", "hyperlink", "merged_range").where(F.col("raw_kind").isNotNull())
+    out = final_rows(kept, shifts).join(index, SHEET, "left").withColumn("sheet_idx", F.coalesce("sheet_idx", "_idx"))
     return untouched.unionByName(out.select(*CELL_COLUMNS))
 
 
 # -- committing -----------------------------------------------------------------------------------
 
-def write_cells(cells: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Store a cell table clustered by sheet and row (a big sheet spans many files).
+@dataclass
+class Parts:
+    """Sheets, merged areas, names and tables that go with some cells."""
+
+    sheets: DataFrame
+    merged: DataFrame
+    names: DataFrame
+    tables: DataFrame
 
-    An existing path is refused unless ``overwrite``.
-    """
-    # Stored first: range partitioning reads its input twice, and an edit should be computed once. The number of files
-    # follows the size, not a setting.
-    made = cut_lineage(cells, "edited")
-    clustered = made.repartitionByRange("workbook", "sheet", "r").sortWithinPartitions("workbook", "sheet", "r", "c")
-    try:
-        clustered.write.option("maxRecordsPerFile", FILE_ROWS).mode("overwrite" if overwrite else "errorifexists").parquet(path)
-    except Exception as exc:
-        if "PATH_ALREADY_EXISTS" in str(exc):
-            raise GuardError("output_exists", f"{path} exists and overwrite is off") from exc
-        raise
+
+def parts_of(scan, cells: DataFrame, books: DataFrame) -> Parts:
+    """What is known about some workbooks beside their cells; without a scan their sheets are those with a cell."""
+    if scan is not None:
+        return Parts(*[of_books(getattr(scan, kind), books) for kind in ("sheets", "merged", "names", "tables")])
+    spark = cells.sparkSession
+    sheets = of_books(cells, books).groupBy(*SHEET).agg(F.min("sheet_idx").alias("sheet_idx")).withColumns({"hidden": F.lit(False), "protected": F.lit(False)})
+    return Parts(sheets, *[spark.createDataFrame([], PART_SCHEMAS[kind]) for kind in ("merged", "names", "tables")])
 
 
 def commit_path(source: str) -> str:
@@ -496,22 +437,34 @@ def commit_path(source: str) -> str:
     return f"{source.rstrip('/')}.updated"
 
 
-def edit(cells: DataFrame, edits: DataFrame, output: str, *, dry_run: bool = False, overwrite: bool = False,
-         merged: DataFrame | None = None, sheets: DataFrame | None = None) -> dict:
-    """Stage, and commit unless a rejection or ``dry_run`` stops it.
+#: Tables of a staged batch: the operations with their verdicts, the cells before and after, and the warnings.
+STAGED = ("staged", "changes", "warnings")
+
+
+def stage_batch(cells: DataFrame, edits: DataFrame, path: str, scan=None) -> str:
+    """Validate a batch and keep it with its diff and warnings below ``path``; returns its id.
 
-    Only the workbooks that the edits name are read, applied and written; the others stay where they are.
+    Nothing is changed. What was shown stays what is committed: all three tables are those of the base at this time.
     """
-    books = edits.select("workbook").distinct()
-    own = cells.join(books, "workbook", "left_semi")
-    merged = merged if merged is None else merged.join(books, "workbook", "left_semi")
-    sheets = sheets if sheets is None else sheets.join(books, "workbook", "left_semi")
-    staged = cut_lineage(stage(edits, own, sheets), "staged")
-    bad = rejected(staged)
-    failed = not bad.limit(1).isEmpty()
-    result = {"ok": not failed, "rejected": bad, "touched": touched_ranges(staged), "changes": diff(staged, own),
-              "warnings": warnings(staged, own, merged, sheets), "committed": None}
-    if not failed and not dry_run:
-        write_cells(apply(staged, own), output, overwrite)
-        result["committed"] = output
-    return result
+    own = of_books(cells, edits)
+    merged, sheets = (None, None) if scan is None else (of_books(scan.merged, edits), of_books(scan.sheets, edits))
+    found = "s" + uuid.uuid4().hex
+    stage(edits, own, sheets).write.parquet(f"{path}/{found}/staged")
+    staged = staged_batch(cells.sparkSession, path, found, ("staged",))["staged"]
+    diff(staged, own).write.parquet(f"{path}/{found}/changes")
+    warnings(staged, own, merged, sheets).write.parquet(f"{path}/{found}/warnings")
+    return found
+
+
+def staged_batch(spark: SparkSession, path: str, found: str, tables: tuple[str, ...] = STAGED) -> dict[str, DataFrame]:
+    """The tables of a staged batch, in this or any later session."""
+    try:
+        return {name: spark.read.parquet(f"{path}/{found}/{name}") for name in tables}
+    except AnalysisException as exc:
+        raise GuardError("staged_not_found", f"no staged batch {found!r}") from exc
+
+
+def edited(staged: DataFrame, cells: DataFrame, scan=None) -> tuple[DataFrame, Parts]:
+    """Cells and parts of the touched workbooks after the accepted operations; a sheet stays when its last cell goes."""
+    own = of_books(cells, staged)
+    return apply(staged, own), parts_of(scan, cells, staged)

@@ -50,13 +50,14 @@ def _pick(name: str, value: Column) -> Column:
     return F.max(F.when(F.col("name") == name, value))
 
 
-def region_view(cells: DataFrame, regions: DataFrame, keep_keys: bool = False) -> DataFrame:
+def region_view(cells: DataFrame, regions: DataFrame, keep_keys: bool = False, columns: list[ViewColumn] | None = None,
+                provenance: str | None = None) -> DataFrame:
     """Typed rows of one table name. ``regions`` holds only the regions with that name.
 
-    Every (workbook, sheet, column) of the table is one lookup row, so cells find their column by
+    ``columns``: those of the view, by default those of ``regions``. ``provenance``: name of a column for the workbook. Every (workbook, sheet, column) of the table is one lookup row, so cells find their column by
     an equi-join and rows come from one grouping by grid row.
     """
-    columns = view_columns(regions)
+    columns = view_columns(regions) if columns is None else columns
     spots = regions.select(
         *SHEET, "data_start_row", "max_r", "orientation", F.inline("columns")
     ).select(*SHEET, F.col("c"), "name", "data_start_row", "max_r", "orientation")
@@ -93,6 +94,8 @@ def region_view(cells: DataFrame, regions: DataFrame, keep_keys: bool = False) -
     filled = F.count_if(bands.cell_non_empty(F.col("val_kind"), F.col("val_text"))).alias("filled")
     wide = placed.groupBy(*SHEET, "r").agg(filled, *aggs).where(F.col("filled") > 0)
     out: list[Column] = [F.col(k) for k in (*SHEET, "r")] if keep_keys else []
+    if provenance:
+        out.append(F.col("workbook").alias(provenance))
     derived: list[Column] = []
     parsed: dict[str, Column] = {}
     for i, col in enumerate(columns):
@@ -115,11 +118,10 @@ def region_view(cells: DataFrame, regions: DataFrame, keep_keys: bool = False) -
 
 def region_cells(structure: Structure) -> DataFrame:
     """Data cells of all regions with their column names (long form)."""
-    rows = bands.row_map(bands.banded_runs(structure.runs, structure.layout))
     cells = structure.cells.select(*SHEET, "r", "c", "val_kind", "val_text", "val_num")
     spots = structure.columns.select(*REGION, "c", "idx", "name", "is_matrix", "data_start_row")
     return (
-        bands.label_cells(cells, rows).join(spots, [*REGION, "c"])
+        bands.label_cells(cells, structure.index).join(spots, [*REGION, "c"])
         .where((F.col("r") >= F.col("data_start_row")) & F.col("val_kind").isNotNull())
     )
 

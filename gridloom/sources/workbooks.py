@@ -274,14 +274,22 @@ class WorkbookScan:
         self.rows = cut_lineage(scan_workbooks(files), "scan", "rec")
         self.failed = self.rows.where("rec = 'error'").select("workbook").distinct()
 
+    @staticmethod
+    def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path)
+        return workbook_files(files, path)
+
+    @classmethod
+    def versions(cls, spark: SparkSession, path: str | list[str]) -> DataFrame:
+        """(path, size, modified) of the workbooks below a folder. Contents are not read."""
+        return cls._files(spark, path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
     @classmethod
     def of_folder(cls, spark: SparkSession, path: str | list[str], seen: DataFrame | None = None) -> WorkbookScan:
         """All workbooks below a folder. ``seen``: versions (path, size, modified) that need no new scan."""
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path)
-        files = workbook_files(files, path)
+        files = cls._files(spark, path)
         if seen is not None:
-            versions = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-            files = files.join(changed_files(versions, seen).select("path"), "path", "left_semi")
+            files = files.join(changed_files(cls.versions(spark, path), seen).select("path"), "path", "left_semi")
         return cls(files)
 
     def _part(self, rec: str) -> DataFrame:
