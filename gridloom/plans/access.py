@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import functions as F
 
-from gridloom.functions.sql_guard import BLOCKED_WORDS, sql_verdict
+from gridloom.functions.sql_guard import BLOCKED_WORDS, GuardError, sql_verdict
+from gridloom.lake import Lake
 from gridloom.operators import audit
-from gridloom.plans.inputs import table
+from gridloom.plans import inputs
+from gridloom.plans.inputs import lake, table
 from gridloom.session import shared_folder
 from gridloom.streaming.repeat_reads import stream_repeat_reads
 
@@ -91,6 +94,28 @@ from events where user_id % 7 = 3 order by ts desc, event_id desc limit 100
 """
 
 
+def audit_from_use(spark, sf):
+    """What a session leaves behind that reads each brand's sheet one to three times and asks two refused things."""
+    book = Lake(lake(spark, sf, inputs.part_sheets).cells)
+    brands = [r[0] for r in table(spark, sf, "part").groupBy("p_brand").agg((F.count(F.lit(1)) % 3 + 1).alias("n")).select(
+        F.explode(F.expr("array_repeat(p_brand, cast(n as int))"))).orderBy("col").collect()]  # brands are few
+    for brand in brands:
+        book.read("parts", brand, "A1:B3")
+    for sql in ("drop table parts", "select * from nowhere"):
+        with suppress(GuardError):
+            book.sql(sql)
+    mine = book.audit(book.trail.session_id, limit=None)
+    return mine.groupBy("operation", F.coalesce(F.get("source_refs", F.lit(0)), F.lit("-")).alias("ref"), F.coalesce("error_code", F.lit("ok")).alias("code")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.get("warnings", F.lit(0))).alias("warning"))
+
+
+AUDIT_FROM_USE = """
+select 'read-range' as operation, p_brand || '!A1:B3' as ref, 'ok' as code, count(*) % 3 + 1 as n,
+  case when count(*) % 3 = 2 then 'Range ' || p_brand || '!A1:B3 has been read 3 times this session.' end as warning from part group by p_brand
+union all select 'query', '-', 'mutating_sql_rejected', 1, null union all select 'query', '-', 'table_not_found', 1, null
+"""
+
+
 def audit_stats(spark, sf):
     out = audit.audit_stats(_audit_events(spark, sf))
     return out.select("operation", F.coalesce("error_code", F.lit("-")).alias("error_code"), "n", "n_ok", "min_ms", F.round("avg_ms", 4).alias("avg_ms"), "max_ms")
@@ -131,6 +156,6 @@ select conv_id, turn, {_verdict('sql')} as verdict, {_verdict('text')} as bare f
 """
 
 QUERIES = {"small_repeat_reads": small_repeat_reads, "repeat_reads": repeat_reads, "repeat_reads_stream": repeat_reads_stream, "audit_latest": audit_latest,
-           "audit_stats": audit_stats, "sql_guard": sql_guard}
+           "audit_stats": audit_stats, "audit_from_use": audit_from_use, "sql_guard": sql_guard}
 ORACLES = {"small_repeat_reads": SMALL_REPEAT_READS, "repeat_reads": REPEAT_READS, "repeat_reads_stream": REPEAT_READS, "audit_latest": AUDIT_LATEST,
-           "audit_stats": AUDIT_STATS, "sql_guard": SQL_GUARD}
+           "audit_stats": AUDIT_STATS, "audit_from_use": AUDIT_FROM_USE, "sql_guard": SQL_GUARD}

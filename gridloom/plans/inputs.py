@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as tx
 from gridloom.lake import Lake
-from gridloom.session import configure, cut_lineage, ship_package
+from gridloom.session import configure, cut_lineage, shared_folder, ship_package
 from gridloom.sources.grid import block_row_number, complete_cells, literal_cell_columns, to_grid
+from gridloom.sources.store import FORMAT, LakeStore
 
 _LAKES: dict[tuple, Lake] = {}
 
@@ -34,6 +36,20 @@ def lake(spark: SparkSession, sf: str, build: Callable[[SparkSession, str], Data
     return _LAKES[key]
 
 
+def stored_lake(spark: SparkSession, sf: str, build: Callable[[SparkSession, str], DataFrame]) -> Lake:
+    """The lake of a grid, saved under the versions of the tables it is made of: later sessions that share the folder, and
+    later queries, open it and find its regions and typed tables there."""
+    configure(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(sf.rstrip("/"))
+    # Names and versions of all files in one number; contents are not read.
+    seen = files.select(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)").alias("h")).agg(F.sum("h"), F.count(F.lit(1))).first()
+    key = hashlib.sha256(f"{FORMAT}/{build.__name__}/{seen[0]}/{seen[1]}".encode()).hexdigest()[:24]
+    root = f"{shared_folder(spark)}/gridloom/lakes/{build.__name__}-{key}"
+    if LakeStore.at(spark, root) is None:
+        return Lake(build(spark, sf.rstrip("/"))).save(root)
+    return Lake.open(spark, root)
+
+
 def four_sheets(spark: SparkSession, sf: str) -> DataFrame:
     """Orders, Customer, Supplier, Nation as four sheets of one workbook."""
     parts = [("Orders", "orders", "o_orderkey"), ("Customer", "customer", "c_custkey"),
@@ -194,6 +210,25 @@ def wide_model(spark: SparkSession, sf: str) -> DataFrame:
             .unionByName(complete_cells(names)))
 
 
+def rings_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as formulas: those of one nation refer to the next of it in order of keys, the last of an even nation to the
+    first one (a ring); all refer to their nation, and the nations of a region to the first ring member of the region's
+    first nation, which makes larger cycles where that nation is even."""
+    def formula(df, sheet, r, f):
+        return complete_cells(df.select(F.lit("rings").alias("workbook"), F.lit(sheet).alias("sheet"), r.cast("long").alias("r"), F.lit(1).alias("c"),
+                                        F.lit("formula").alias("raw_kind"), f.alias("raw_text"), f.alias("formula")))
+
+    customer, nation = table(spark, sf, "customer"), table(spark, sf, "nation")
+    spans = customer.groupBy("c_nationkey").agg(F.min("c_custkey").alias("first"))
+    order = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    chained = customer.withColumn("next", F.lead("c_custkey").over(order)).join(spans, "c_nationkey")
+    after = F.coalesce("next", F.when(F.col("c_nationkey") % 2 == 0, F.col("first")))
+    people = formula(chained, "people", F.col("c_custkey"), F.concat(
+        F.lit("=nations!A"), F.col("c_nationkey") + 1, F.coalesce(F.concat(F.lit("+A"), after), F.lit(""))))
+    head = nation.join(spans, F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_regionkey").agg(F.min_by("first", "n_nationkey").alias("head"))
+    return people.unionByName(formula(nation.join(head, "n_regionkey"), "nations", F.col("n_nationkey") + 1, F.concat(F.lit("=people!A"), F.col("head"))))
+
+
 def part_sheets(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as one sheet per brand."""
     part = table(spark, sf, "part")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import joins, materialize
 from gridloom.plans import inputs
-from gridloom.plans.inputs import lake, table
+from gridloom.plans.inputs import lake, stored_lake, table
 
 # Each text runs on the region views of a lake; the SQL after it runs on the base tables.
 _ON_VIEWS = {
@@ -60,6 +60,23 @@ _ON_VIEWS = {
           case when l_orderkey is null then 'no lines' when o_orderkey is null then 'no order'
                when abs(o_totalprice - line_sum) <= 1000 then 'ok' else 'differs' end as state
         from orders full outer join l on o_orderkey = l_orderkey"""),
+    "left_right_joins": (inputs.order_lines, """
+        select 'left' as side, o_orderkey as k, n_lines from orders_summary_1 left join lines_table_1 on o_orderkey = l_orderkey and n_lines > 3
+        union all select 'right', l_orderkey, n_lines from (select * from orders_summary_1 where o_totalprice > 100000) right join lines_table_1 on o_orderkey = l_orderkey
+        where o_orderkey is null""", """
+        with l as (select l_orderkey, count(*) as n_lines from lineitem group by l_orderkey)
+        select 'left' as side, cast(o_orderkey as double) as k, cast(n_lines as double) as n_lines from orders left join l on o_orderkey = l_orderkey and n_lines > 3
+        union all select 'right', cast(l_orderkey as double), cast(n_lines as double) from (select * from orders where o_totalprice > 100000) right join l on o_orderkey = l_orderkey
+        where o_orderkey is null"""),
+    "nested_functions": (inputs.four_sheets, """
+        select o_orderkey, size(split(o_orderpriority, '-')) as parts, element_at(split(o_orderpriority, '-'), 2) as name,
+          array_join(transform(sequence(1, 3), x -> x * length(o_orderstatus)), '+') as scaled,
+          map('s', o_orderstatus, 'p', o_orderpriority)['s'] as status,
+          get_json_object(to_json(named_struct('a', named_struct('b', o_orderstatus))), '$.a.b') as inner,
+          array_contains(array('O', 'F'), o_orderstatus) as known, from_json('{"x": 7}', 'x int').x as seven
+        from orders_ledger_1""", """
+        select cast(o_orderkey as double) as o_orderkey, len(string_split(o_orderpriority, '-')) as parts, string_split(o_orderpriority, '-')[2] as name,
+          '1+2+3' as scaled, o_orderstatus as status, o_orderstatus as inner, o_orderstatus in ('O', 'F') as known, 7 as seven from orders"""),
     "missing_semi_anti": (inputs.order_lines, """
         select 'without lines' as kind, o_orderkey from orders_summary_1 o where not exists (select 1 from lines_table_1 where l_orderkey = o.o_orderkey)
         union all select 'with many lines', o_orderkey from orders_summary_1 where o_orderkey in (select l_orderkey from lines_table_1 where n_lines >= 7)""", """
@@ -117,12 +134,12 @@ _ON_VIEWS = {
 
 
 def _view_query(build, sql):
-    return lambda spark, sf: lake(spark, sf, build).sql(sql)
+    return lambda spark, sf: stored_lake(spark, sf, build).sql(sql)
 
 
 def range_pairs(spark, sf):
     """Q15: orders whose total lies within 500 of fifty times a supplier's balance."""
-    book = lake(spark, sf, inputs.four_sheets)
+    book = stored_lake(spark, sf, inputs.four_sheets)
     suppliers = book.table("supplier_table_1").select("s_suppkey", (F.col("s_acctbal") * 50 - 500).alias("lo"), (F.col("s_acctbal") * 50 + 500).alias("hi"))
     orders = book.table("orders_ledger_1").select("o_orderkey", "o_totalprice")
     pairs = joins.range_lookup(orders, suppliers, "o_totalprice", "lo", "hi", 1000.0)
@@ -139,8 +156,7 @@ def asof_lookup(spark, sf):
     events = table(spark, sf, "events")
     right = events.where("event_type = 'view'").select("user_id", "ts", "event_id", "value")
     left = events.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
-    day = F.date_trunc("day", F.col("ts"))
-    return joins.asof_lookup(left, right, "user_id", "ts", "value", day, "event_id", "view_value").select("event_id", "user_id", "view_value")
+    return joins.asof_lookup(left, right, "user_id", "ts", "value", "event_id", "view_value").select("event_id", "user_id", "view_value")
 
 
 ASOF_LOOKUP = """
@@ -150,6 +166,47 @@ asof left join (select user_id, ts, value from events where event_type = 'view')
 """
 
 
+def asof_busy(spark, sf):
+    """Q16 where one key on one day has half of all rows: every event asks for the last view of its user before it."""
+    busy = F.col("event_id") % 2 == 0
+    second = F.expr("event_id * 7919 % 86400")
+    events = table(spark, sf, "events").select(
+        "event_id", "event_type", "value", F.when(busy, F.lit(0)).otherwise(F.col("user_id")).alias("key"),
+        F.when(busy, F.timestamp_seconds(second)).otherwise(F.col("ts")).alias("at"))
+    views = events.where("event_type = 'view'")
+    return joins.asof_lookup(events.where("event_type <> 'view'"), views, "key", "at", "value", "event_id", "view_value").select("event_id", "view_value")
+
+
+ASOF_BUSY = """
+with e as (
+  select event_id, event_type, value, case when event_id % 2 = 0 then 0 else user_id end as key,
+    case when event_id % 2 = 0 then make_timestamp(event_id * 7919 % 86400 * 1000000) else ts end as moment from events),
+o as (
+  select event_id, event_type, key, last_value(case when event_type = 'view' then {'v': value} end ignore nulls) over (
+    partition by key order by moment, event_type <> 'view', event_id rows between unbounded preceding and current row) as seen from e)
+select event_id, seen.v as view_value from o where event_type <> 'view'
+"""
+
+
+def range_nested(spark, sf):
+    """Q15 with spans from one unit to the whole domain: customers as spans around their balance, wider by key; orders as points,
+    a third of them at one value. Pairs are counted per span."""
+    reach = F.pow(F.lit(2.0), F.col("c_custkey") % 20)
+    spans = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") * 20 - reach).alias("lo"), (F.col("c_acctbal") * 20 + reach).alias("hi"))
+    points = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(50_000.0)).otherwise(F.col("o_totalprice")).alias("p"))
+    # Equal points meet the same spans, so each value is looked up once.
+    values = points.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    pairs = joins.range_lookup(values, spans, "p", "lo", "hi", 1.0)
+    return pairs.groupBy("c_custkey").agg(F.sum("n").alias("n"), F.round(F.max("p"), 2).alias("highest"))
+
+
+RANGE_NESTED = """
+with s as (select c_custkey, c_acctbal * 20 - pow(2, c_custkey % 20) as lo, c_acctbal * 20 + pow(2, c_custkey % 20) as hi from customer),
+p as (select case when o_orderkey % 3 = 0 then 50000.0::double else o_totalprice end as p, count(*) as n from orders group by 1)
+select c_custkey, cast(sum(n) as bigint) as n, round(max(p), 2) as highest from p join s on p between lo and hi group by c_custkey
+"""
+
+
 def months_unpivot(spark, sf):
     wide = lake(spark, sf, inputs.priority_months).table("revenue_table_2")
     months = [m.lower() for m in inputs.MONTH_NAMES]
@@ -225,7 +282,7 @@ group by c.sheet, c.r"""
 
 def percent_view(spark, sf):
     """Derived columns of a free-text rate column, as a view over the whole grid."""
-    book = lake(spark, sf, inputs.percent_lines)
+    book = stored_lake(spark, sf, inputs.percent_lines)
     return book.sql("""
         select yield_text__kind as kind, l_linenumber as line, count(*) as n, round(sum(yield_text__num), 4) as num,
           round(sum(yield_text__min), 4) as lo, round(sum(yield_text__max), 4) as hi
@@ -245,11 +302,11 @@ select kind, cast(n as double) as line, count(*) as n, round(sum(num), 4) as num
 
 QUERIES = {name: _view_query(build, sql) for name, (build, sql, _) in _ON_VIEWS.items()}
 QUERIES |= {
-    "range_lookup": range_pairs, "asof_lookup": asof_lookup, "months_unpivot": months_unpivot, "years_pivot": months_pivot,
+    "range_lookup": range_pairs, "asof_lookup": asof_lookup, "asof_busy": asof_busy, "range_nested": range_nested, "months_unpivot": months_unpivot, "years_pivot": months_pivot,
     "region_materialize": region_materialize, "region_row_maps": region_row_maps, "year1_total": year1_total, "percent_view": percent_view,
 }
 ORACLES = {name: check for name, (_, _, check) in _ON_VIEWS.items()}
 ORACLES |= {
-    "range_lookup": RANGE_PAIRS, "asof_lookup": ASOF_LOOKUP, "months_unpivot": MONTHS_UNPIVOT, "years_pivot": MONTHS_PIVOT,
+    "range_lookup": RANGE_PAIRS, "asof_lookup": ASOF_LOOKUP, "asof_busy": ASOF_BUSY, "range_nested": RANGE_NESTED, "months_unpivot": MONTHS_UNPIVOT, "years_pivot": MONTHS_PIVOT,
     "region_materialize": REGION_MATERIALIZE, "region_row_maps": _row_maps_sql(), "year1_total": _year1_sql(), "percent_view": PERCENT_VIEW,
 }
