@@ -97,7 +97,8 @@ class WordIds:
 
     No token spans an ASCII blank, and nothing the vocabulary does to a word depends on what stands beyond one. So each
     distinct run between blanks is encoded once, by the library, and remembered; a text is put together from its runs.
-    Unknown runs are encoded many at a time, with a word between them that stands in no run and has one id.
+    Unknown runs are encoded many at a time: those of letters one after the other, the others with a word between them that
+    stands in no run and has one id.
     """
 
     def __init__(self, vocabulary: str = WORD_BPE, remembered: int = WORDS_HELD):
@@ -105,6 +106,9 @@ class WordIds:
         self._mark = self._ids([_MARK.decode()])[0]
         if len(self._mark) != 1:
             raise ValueError("the vocabulary has no entry for the mark between words")
+        vocab = _library(vocabulary_path(vocabulary)).get_vocab()
+        self._last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self._last[[i for entry, i in vocab.items() if entry.endswith("</w>")]] = True
         self._runs, self._older, self._most = {}, {}, remembered
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -124,6 +128,12 @@ class WordIds:
                 held += len(text)
         yield from self._group(group)
 
+    def _remember(self, words: list[bytes], ids: np.ndarray, ends: list[int], starts: list[int]) -> None:
+        if len(ends) != len(words):
+            raise ValueError("the vocabulary divides words in another way")
+        raw = ids.tobytes()
+        self._runs.update(zip(words, [raw[4 * lo:4 * hi] for lo, hi in zip(starts, ends)]))
+
     def _group(self, texts: list[bytes]) -> list[bytes]:
         if len(self._runs) > self._most:  # those in use come back from the older half
             self._older, self._runs = self._runs, {}
@@ -135,13 +145,17 @@ class WordIds:
             odd = [w for w in new if _MARK in w]
             new = [w for w in new if _MARK not in w]
             self._runs.update(zip(odd, (ids.tobytes() for ids in self._ids([as_text(w) for w in odd]))))
+        # A run of letters is one word, and the entry that ends a word says so; other runs need the mark.
+        letters = [w for w in new if w.isalpha()]
+        new = [w for w in new if not w.isalpha()]
+        if letters:
+            ids = self._ids([b" ".join(letters).decode()])[0]
+            ends = (np.flatnonzero(self._last[ids]) + 1).tolist()
+            self._remember(letters, ids, ends, [0, *ends])
         if new:
             ids = self._ids([as_text(_BETWEEN.join(new))])[0]
             ends = [*np.flatnonzero(ids == self._mark[0]).tolist(), len(ids)]
-            if len(ends) != len(new):
-                raise ValueError("the vocabulary divides words in another way")
-            raw, starts = ids.tobytes(), [0, *[4 * e + 4 for e in ends]]
-            self._runs.update(zip(new, [raw[lo:4 * hi] for lo, hi in zip(starts, ends)]))
+            self._remember(new, ids, ends, [0, *[e + 1 for e in ends]])
         out = [b"".join(map(self._runs.__getitem__, words)) for words in lists]
         for word in missing:
             if len(word) > LONGEST_HELD:
