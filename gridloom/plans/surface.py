@@ -196,7 +196,7 @@ def range_nested(spark, sf):
     points = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(50_000.0)).otherwise(F.col("o_totalprice")).alias("p"))
     # Equal points meet the same spans, so each value is looked up once.
     values = points.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    pairs = joins.range_lookup(values, spans, "p", "lo", "hi", 1.0)
+    pairs = joins.range_lookup(values, spans, "p", "lo", "hi", 1.0, combine={"n": "sum", "p": "max"})
     return pairs.groupBy("c_custkey").agg(F.sum("n").alias("n"), F.round(F.max("p"), 2).alias("highest"))
 
 

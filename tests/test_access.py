@@ -94,6 +94,25 @@ def test_range_lookup_of_any_width(spark):
     assert joins.range_lookup(p, s.where("false"), "x", "lo", "hi", 1.0).count() == 0
 
 
+def test_range_lookup_merges_points_inside_spans(spark):
+    """Totals over pairs, from far fewer rows than there are pairs; crowded points, equal points, open and empty spans."""
+    rng = random.Random(16)
+    points = [(rng.choice([50.0, -7.25, rng.uniform(-300, 300), rng.uniform(10, 10.5)]), rng.randint(1, 9)) for _ in range(900)] + [(None, 1), (float("nan"), 1)]
+    spans = [(i, a, a + rng.choice([0.0, 0.1, 3.0, 70.0, 1000.0])) for i, a in enumerate(rng.uniform(-300, 300) for _ in range(60))]
+    spans += [(100, -1e300, 1e300), (101, 50.0, 50.0), (102, 5.0, 4.0), (103, None, 9.0), (104, float("-inf"), float("inf")), (105, 10.1, 10.4)]
+    p, s = spark.createDataFrame(points, "x double, n long"), spark.createDataFrame(spans, "s long, lo double, hi double")
+    pairs = [(j, n, x) for x, n in points for j, a, b in spans if x is not None and a is not None and a <= x <= b]
+    want = {j: (sum(n for i, n, _ in pairs if i == j), max(x for i, _, x in pairs if i == j)) for j, _, _ in pairs}
+    for width, hot in ((1.0, 100_000), (1.0, 3), (50.0, 100_000)):
+        met = joins.range_lookup(p, s, "x", "lo", "hi", width, hot, combine={"n": "sum", "x": "max"})
+        assert sorted(met.columns) == ["hi", "lo", "n", "s", "x"]
+        rows = met.collect()
+        assert {j: (sum(r.n for r in rows if r.s == j), max(r.x for r in rows if r.s == j)) for j in {r.s for r in rows}} == want
+        assert len(rows) < len(pairs) / 5
+    assert joins.range_lookup(p.where("false"), s, "x", "lo", "hi", 1.0, combine={"n": "sum"}).count() == 0
+    assert joins.range_lookup(p, s.where("false"), "x", "lo", "hi", 1.0, combine={"n": "sum"}).count() == 0
+
+
 def test_row_index(spark):
     keys = random.Random(5).sample(range(10**6), 700)
     df = spark.createDataFrame([(k, f"t{k:07d}") for k in keys], "k long, t string")
