@@ -141,9 +141,9 @@ def range_pairs(spark, sf):
     """Q15: orders whose total lies within 500 of fifty times a supplier's balance."""
     book = stored_lake(spark, sf, inputs.four_sheets)
     suppliers = book.table("supplier_table_1").select("s_suppkey", (F.col("s_acctbal") * 50 - 500).alias("lo"), (F.col("s_acctbal") * 50 + 500).alias("hi"))
-    orders = book.table("orders_ledger_1").select("o_orderkey", "o_totalprice")
-    pairs = joins.range_lookup(orders, suppliers, "o_totalprice", "lo", "hi", 1000.0)
-    return pairs.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    orders = book.table("orders_ledger_1").select("o_totalprice", F.lit(1).cast("long").alias("n"), F.col("o_totalprice").alias("total"))
+    pairs = joins.range_lookup(orders, suppliers, "o_totalprice", "lo", "hi", 1000.0, combine={"n": "sum", "total": "sum"})
+    return pairs.groupBy("s_suppkey").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
 
 
 RANGE_PAIRS = """
