@@ -145,3 +145,31 @@ def test_cells_read_as_parquet(spark, grid, tmp_path):
     Lake(grid({"S": {"A1": "a", "B2": 5}})).save(out)
     assert spark.read.parquet(out).count() == 2
     assert cell("A1", "x").startswith("<c")
+
+
+def test_derived_columns_are_worked_out_when_read(spark, grid, tmp_path):
+    """A query that names no derived column parses no text; one that does gets the same values from a saved lake and a fresh one."""
+    texts = ["5%", "\n=A1*5", "10-30%", "0,25", "n/a", "от 11% до 80%", "7", None]
+    cells = grid({"Fees": {"A1": "id", "B1": "fee_rate", **{f"A{i}": i for i in range(2, 10)}, **{f"B{i}": t for i, t in enumerate(texts, 2) if t}}})
+    cells = cells.withColumns({"raw_kind": F.when(F.col("raw_text").startswith("="), "text").otherwise(F.col("raw_kind")), "formula": F.lit(None).cast("string")})
+    cells = cells.withColumns({"val_kind": F.coalesce("val_kind", "raw_kind"), "val_text": F.coalesce("val_text", "raw_text")})
+    name = Lake(cells).regions.first()["table_name"]
+    ask = f"select id, fee_rate__kind as k, round(fee_rate__num, 4) as n, fee_rate__min as lo, fee_rate__max as hi from {name}"
+    want = {2: ("percent", 0.05, 0.05, 0.05), 3: ("formula", None, None, None), 4: ("range", None, 0.1, 0.3), 5: ("number", 0.25, 0.25, 0.25), 6: ("other", None, None, None),
+            7: ("range", None, 0.11, 0.8), 8: ("percent", 0.07, 0.07, 0.07), 9: ("empty", None, None, None)}
+    saved = Lake(cells).save(url(tmp_path / "lake"))
+    for lake in (Lake(cells), saved):
+        assert {int(r.id): (r.k, r.n, r.lo, r.hi) for r in lake.sql(ask).collect()} == want
+        plain = lake.sql(f"select id, fee_rate from {name}")
+        assert "regexp_extract_all" not in plain._jdf.queryExecution().optimizedPlan().toString() and plain.count() == 8
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(url(tmp_path / "lake/_views"))
+    assert not [c for c in stored.columns if "__" in c]
+
+
+def test_moments_print_as_before(spark):
+    rows = spark.sql("select explode(array(timestamp'2024-01-02 03:04:05', timestamp'0999-12-31 00:00:00.000120', timestamp'1900-06-07 08:09:10.5', timestamp'+12345-01-02 03:04:05')) as t")
+    from gridloom.functions import text as tx
+
+    got = rows.select(tx.iso_timestamp(F.col("t")).alias("i"), tx.spaced_timestamp(F.col("t")).alias("s"), F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss").alias("w")).collect()
+    assert [r.i for r in got] == ["2024-01-02T03:04:05", "0999-12-31T00:00:00.000120", "1900-06-07T08:09:10.500000", got[3].w]
+    assert [r.s for r in got] == [r.i.replace("T", " ") for r in got]
