@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from gridloom.functions import text as tx
 from gridloom.operators import bands
 from gridloom.operators.structure import Structure, header_scores
+from gridloom.sources.grid import to_grid
 
 
 def _cells(spark, spots):
@@ -51,3 +53,19 @@ def test_scores_and_head_hold_no_more_than_they_need(grid):
     assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
     got = {r["r"]: round(r["score"], 6) for r in scores.collect()}
     assert got == {1: round(0.3 + 0.3 + 0.25 * 2 / 3 + 0.15 * 2 / 3, 6), 2: round(0.3 + 0.3 / 3 + 0.25 + 0.15, 6)}
+
+
+def test_texts_keep_their_spelling(spark):
+    values = [0.0, -0.0, 0.001, 9.999e-4, 9999999.5, 1e7, -1e7, 1e16, 1e-5, float("nan"), float("inf"), None, 123.25]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(tx.float_text(F.col("v"))).collect()] == [None if v is None else str(v) for v in values]
+    texts = ["  a b ", " a\t", "é", "a ", "", "   ", "\x1fa", None]
+    df = spark.createDataFrame([(v,) for v in texts], "v string")
+    assert [r[0] for r in df.select(tx.strip(F.col("v"))).collect()] == ["a b", "a", "é", "a", "", "", "\x1fa", None]
+
+
+def test_grid_works_texts_out_once(spark):
+    df = spark.createDataFrame([(1, 2.5)], "k long, v double")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    once = plan(df.select(tx.float_text(F.col("v")))).count("decimal(38,20)")
+    assert once and plan(to_grid(df, "S", ["k"])).count("decimal(38,20)") == once
