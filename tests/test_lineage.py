@@ -7,6 +7,7 @@ import pytest
 from gridloom import Lake
 from gridloom.operators import lineage
 from gridloom.operators.lineage import LineageGraph, strong_components
+from gridloom.plans import lineage as plans
 
 
 def plain_components(edges):
@@ -74,3 +75,21 @@ def test_a_trace_reads_what_it_reaches(spark, grid, tmp_path):
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "PushedFilters: [" in plan and "EqualTo(sheet,S)" in plan and "GreaterThanOrEqual(r,1)" in plan
     assert graph.expanded.count() == 3
+
+
+def test_checks_tell_lost_precedents(spark, tmp_path, monkeypatch):
+    tables = {
+        "lineitem": ([(1, 1, 5), (1, 1, 4), (1, 2, 5), (2, 1, None), (3, None, 4)], "l_orderkey long, l_linenumber int, l_partkey long"),
+        "orders": ([(1, 7, "x"), (2, 8, "y"), (2, 7, "z"), (3, None, "x")], "o_orderkey long, o_custkey long, o_orderpriority string"),
+        "customer": ([(7, 0), (8, 0)], "c_custkey long, c_nationkey int"), "nation": ([(0, 1)], "n_nationkey int, n_regionkey int"),
+        "region": ([(1, "r")], "r_regionkey int, r_name string"), "part": ([(4, "p"), (5, "q")], "p_partkey long, p_name string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    verdicts = lambda: {(r["sheet"], r["r"]): (r["n"], r["covered"]) for r in plans.lineage_checks(spark, str(tmp_path)).collect()}
+    whole = {("lineitem", 9): (3, True), ("lineitem", 10): (3, True), ("lineitem", None): (3, True), ("orders", 2): (1, True), ("orders", 3): (2, True),
+             ("customer", 8): (1, True), ("customer", 9): (1, True), ("nation list", 1): (1, True)}
+    assert verdicts() == whole
+    # All but the first reference of a formula are lost: those cells are not covered, though their first one is.
+    every = lineage.formula_refs
+    monkeypatch.setattr(lineage, "formula_refs", lambda cells: every(cells).where("pos = 0"))
+    assert verdicts() == whole | {("lineitem", r): (1, False) for r in (9, 10, None)}
